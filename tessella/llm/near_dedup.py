@@ -14,7 +14,8 @@ No group is ever expanded into all its pairs:
 3. only buckets that still hold several components are looked at again.  Their members are
    cut into blocks, block pairs are spread over tasks, and just the pairs of *different*
    components with a high enough estimate leave the task, each from the first band the two
-   documents share.  They are confirmed the same way and the components are joined again.
+   documents share.  For these, longer signatures of 2048 minima leave few pairs under the
+   threshold.  They are confirmed the same way and the components are joined again.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 """
@@ -38,15 +39,18 @@ THRESHOLD_NUM, THRESHOLD_DEN = 75, 100
 #: 0.75 less four standard deviations of the estimate from 512 two-bit minima.
 LEAST_ESTIMATE = 0.655
 LEAST_MATCH = int(SIGNATURE * (0.25 + 0.75 * LEAST_ESTIMATE))
+#: The same for the 2048 minima that decide which pairs of a crowded bucket are confirmed.
+FINE, LEAST_FINE = 2048, int(2048 * (0.25 + 0.75 * 0.704))
 BLOCK = 512
 _FACTORS = tc.multipliers(SIGNATURE)
+_FINE_FACTORS = tc.multipliers(FINE, 78)
 _BAND_SEED = tc.splitmix(BANDS, 91)
 _ROW_MUL = tc.splitmix(ROWS, 92) | np.uint64(1)
 _LANES = 0x5555555555555555
 
 
 def _pack(low: np.ndarray) -> np.ndarray:
-    """Two bits of each of 512 minima in 16 longs."""
+    """Two bits of each minimum, 32 of them in a long."""
     x = (low & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
     return np.bitwise_or.reduce(x << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1)
 
@@ -105,6 +109,17 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Longer signatures of shingle sets."""
+    for batch in batches:
+        column = batch.column("shingles")
+        flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        packed = np.zeros((batch.num_rows, FINE // 32), np.uint64)
+        for d in range(batch.num_rows):
+            packed[d] = _pack(tc.minima((flat[at[d] : at[d + 1]] >> np.uint64(32)).astype(np.uint32), _FINE_FACTORS, 64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tc.list_array(packed.view(np.int64).ravel(), np.full(batch.num_rows, FINE // 32), pa.int64())], names=["doc_id", "sig"])
+
+
 def _matches(a: str, b: str):
     """Number of equal two-bit minima of two packed signatures."""
     lane = F.lit(_LANES).cast("bigint")
@@ -144,7 +159,7 @@ def _residual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             z = sig[j] ^ sig[i]
             z = (z | (z >> np.uint64(1))) & lane
-            j = j[SIGNATURE - np.bitwise_count(z).sum(axis=1, dtype=np.int64) >= LEAST_MATCH]
+            j = j[FINE - np.bitwise_count(z).sum(axis=1, dtype=np.int64) >= LEAST_FINE]
             if band and len(j):
                 j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
             if len(j):
@@ -160,7 +175,7 @@ def _residual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not batch.num_rows:
                 continue
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "band", "bi", "bj", "block", "doc_id", "label")}
-            for c, width in (("sig", SIGNATURE // 32), ("bands", BANDS)):
+            for c, width in (("sig", FINE // 32), ("bands", BANDS)):
                 cols[c] = batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
             if held is not None:
                 cols = {c: np.concatenate((held[c], v)) for c, v in cols.items()}
@@ -217,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     todo = todo.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     todo = todo.select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "label")
-    todo = todo.join(reps.select("doc_id", "bands", "sig"), "doc_id").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    fine = sets.join(todo.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id bigint, sig array<bigint>")
+    todo = todo.join(fine, "doc_id").join(reps.select("doc_id", "bands"), "doc_id").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     more = ws.write(todo.mapInArrow(_residual, "a bigint, b bigint"), "more")
     late = confirm(more, sets)
     edges = ws.write(edges.unionByName(late), "all_edges")
