@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, small
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Default targets: shares of tokens to these powers, normalised.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-ROUNDS_PER_PASS, MAX_PASSES, TOLERANCE = 4, 12, 1e-9
+#: Default targets: the marginals of the cells' tokens to this power, which flattens them and,
+#: having the cells' own support, can always be met.
+TEMPER = 0.6
+ROUNDS_PER_PASS, MAX_PASSES, TOLERANCE = 6, 10, 1e-7
 #: The reference rate is the largest among cells with at least this share of all tokens.
 MIN_CELL_SHARE = 0.001
 #: Cells up to this number are raked in one task and broadcast; beyond, by shuffles and joins.
@@ -63,20 +64,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace)
     """Cells (source, lang, topic, tokens) with column w, their raked shares.
 
     targets: per dimension a table (name, target); values it lacks get none.  Without it the
-    tempered shares of the cells themselves are the targets.
+    marginals of the tempered cells are the targets.
     """
-    if small(cells, MAX_SMALL_CELLS):
+    one = small(cells, MAX_SMALL_CELLS)
+    if one:
         cells = cells.coalesce(1)
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     for d in DIMENSIONS:
         if targets and d in targets:
             cells = cells.join(targets[d].select(F.col(d), F.col("target").cast("double").alias(f"t_{d}")), d, "left").fillna({f"t_{d}": 0.0})
         else:
-            own = cells.groupBy(d).agg(F.pow(F.sum("tokens") / 1.0, F.lit(TEMPER[d])).alias("p"))
-            own = own.coalesce(1).select(d, (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(1)))).alias(f"t_{d}"))
-            cells = cells.join(own, d)
-    current = ws.write(cells.coalesce(1) if small(cells, MAX_SMALL_CELLS) else cells, "cells").withColumn("w", F.col("tokens") / total)
-    one = small(current, MAX_SMALL_CELLS)
+            part = F.sum(F.pow(F.col("tokens") / 1.0, F.lit(TEMPER)))
+            cells = cells.withColumn(f"t_{d}", part.over(Window.partitionBy(d)) / part.over(Window.partitionBy(F.lit(1))))
+    current = ws.write(cells.coalesce(1) if one else cells, "cells").withColumn("w", F.col("tokens") / total)
     for k in range(MAX_PASSES):
         if one:
             current = current.coalesce(1)
@@ -85,11 +85,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace)
                 over = F.sum("w").over(Window.partitionBy(d))
                 current = current.withColumn("w", F.when(over > 0, F.col("w") * F.col(f"t_{d}") / over).otherwise(0.0))
         current = ws.write(current, f"rake_{k}")
-        worst = 0.0
-        for d in DIMENSIONS:
-            gap = current.groupBy(d).agg(F.abs(F.sum("w") - F.max(f"t_{d}")).alias("g")).agg(F.max("g")).first()[0]
-            worst = max(worst, gap or 0.0)
-        if worst <= TOLERANCE:
+        gaps = [F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"t_{d}")) for d in DIMENSIONS]
+        worst = (current.coalesce(1) if one else current).select(F.greatest(*gaps).alias("g")).agg(F.max("g")).first()[0]
+        if (worst or 0.0) <= TOLERANCE:
             break
     return current.select(*DIMENSIONS, "tokens", "w")
 

@@ -1,8 +1,9 @@
 """Toxicity scores by FTRL-proximal logistic regression on hashed word n-grams and skip-grams.
 
-Features of a text are the set of its words, word pairs and pairs with one word between
-(skip-grams), hashed into 2**20 coordinates; presence counts, not frequency, so long texts
-weigh no more than short ones.  FTRL-proximal (McMahan et al., 2013) keeps a learning rate
+Features of a text are its words, word stems (the first 4, 5 and 7 bytes), word pairs and pairs
+with one word between (skip-grams), hashed into 2**20 coordinates.  A feature is present
+once, and has coordinates of their own for two and for three or more occurrences, so a long
+text's frequent words weigh no more than a short one's.  FTRL-proximal (McMahan et al., 2013) keeps a learning rate
 per coordinate, and its L1 term leaves most weights exactly zero.  The non-zero weights are
 a small array (bounded by the number of coordinates) that is broadcast to the scorers.
 
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 
 BITS = 20
-MAX_TRAIN = 8000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 1.0
+MAX_TRAIN = 6000
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.02
+#: Coordinates in fewer sampled documents are left out of the fit.
+MIN_DOCS = 5
+STEMS = (4, 5, 7)
 FOLDS = 5
 
 
@@ -35,12 +39,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(ch: tc.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates of a chunk's n-grams and skip-grams, and the document of each."""
+    """Coordinates of a chunk's words, stems, n-grams and skip-grams, and the document of each."""
     s, e, first = ch.words()
     w = ch.word_hashes(s, e)
     owner = np.repeat(np.arange(len(ch)), np.diff(first))
     shift = np.uint64(64 - BITS)
     parts, docs = [w >> shift], [owner]
+    for n in STEMS:
+        long = np.flatnonzero(e - s >= n)
+        stem = ch.word_hashes(s[long], s[long] + n)
+        parts.append(tc.mix64(stem + np.uint64(n)) >> shift)
+        docs.append(owner[long])
     for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         if len(w) > gap:
             same = owner[gap:] == owner[:-gap]
@@ -49,12 +58,19 @@ def features(ch: tc.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts).astype(np.int64), np.concatenate(docs)
 
 
+def level(index: np.ndarray, times: int) -> np.ndarray:
+    """The coordinate of a feature that occurs so often."""
+    return (tc.mix64(index.astype(np.uint64) * np.uint64(8) + np.uint64(times)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def per_document(ch: tc.Chunk) -> Iterator[np.ndarray]:
     """The distinct coordinates of each document."""
     index, doc = features(ch)
-    key = np.unique((doc << BITS) | index)
-    cut = np.searchsorted(key, np.arange(len(ch) + 1) << BITS)
     mask = (1 << BITS) - 1
+    key, count = np.unique((doc << BITS) | index, return_counts=True)
+    more = [((key[count >= k] >> BITS) << BITS) | level(key[count >= k] & mask, k) for k in (2, 3)]
+    key = np.unique(np.concatenate((key, *more)))
+    cut = np.searchsorted(key, np.arange(len(ch) + 1) << BITS)
     for d in range(len(ch)):
         yield key[cut[d] : cut[d + 1]] & mask
 
@@ -82,7 +98,9 @@ class Ftrl:
 
 def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and values of the non-zero weights; the last coordinate is the bias."""
-    rows = [np.append(x, 1 << BITS) for ch in tc.chunks(texts) for x in per_document(ch)]
+    rows = [x for ch in tc.chunks(texts) for x in per_document(ch)]
+    often = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= MIN_DOCS
+    rows = [np.append(x[often[x]], 1 << BITS) for x in rows]
     model, order = Ftrl(), np.random.default_rng(7)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
@@ -120,14 +138,20 @@ def _scorer(model, text_col: str):
     def scores(batch: pa.RecordBatch) -> np.ndarray:
         if "w" not in state:
             index, value = model.value
-            state["w"] = np.zeros((1 << BITS) + 1)
-            state["w"][index] = value
-        w, out = state["w"], np.zeros(batch.num_rows)
+            w = np.zeros((1 << BITS) + 1)
+            w[index] = value
+            every = np.arange(1 << BITS)
+            state["at"] = [np.arange(1 << BITS), level(every, 2), level(every, 3)]
+            state["any"] = (w[state["at"][0]] != 0) | (w[state["at"][1]] != 0) | (w[state["at"][2]] != 0)
+            state["w"] = w
+        w, out, mask = state["w"], np.zeros(batch.num_rows), (1 << BITS) - 1
         for ch in tc.chunks(batch.column(text_col)):
             index, doc = features(ch)
-            hit = np.flatnonzero(w[index])
-            key = np.unique((doc[hit] << BITS) | index[hit])  # each coordinate once a document
-            out[ch.first : ch.last] = np.bincount(key >> BITS, weights=w[key & ((1 << BITS) - 1)], minlength=len(ch))
+            hit = np.flatnonzero(state["any"][index])
+            key, count = np.unique((doc[hit] << BITS) | index[hit], return_counts=True)
+            more = [((key[count >= k] >> BITS) << BITS) | state["at"][k - 1][key[count >= k] & mask] for k in (2, 3)]
+            key = np.unique(np.concatenate((key, *more)))  # each coordinate once a document
+            out[ch.first : ch.last] = np.bincount(key >> BITS, weights=w[key & mask], minlength=len(ch))
         return 1 / (1 + np.exp(-np.clip(out + w[1 << BITS], -35, 35)))
 
     return scores
