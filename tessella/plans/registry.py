@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessella.plans.oracles import ORACLES
+from tessella.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
