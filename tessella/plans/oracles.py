@@ -52,12 +52,12 @@ CTES = {
     "cev": "SELECT ce.*, component_id, analysis_split FROM ce JOIN csplit USING (k)",
     "cc": "SELECT event_id, 4 * k + w AS w, x.i AS l, 1.0 / 3 AS weight, prompt_group_id, component_id, analysis_split, k FROM cev, (SELECT unnest([0, 1, 2, 3]) AS j), LATERAL (SELECT 4 * k + j AS i) x WHERE exclusion_reason IS NULL AND analysis_split <> 'quarantine' AND j <> w",
     "pv": """SELECT analysis_split, concept_id, prompt_group_id, component_id, avg(w) AS preferred, avg(l) AS rejected, avg(o) AS ordering, avg(w) - avg(l) AS effect FROM (
-               SELECT analysis_split, concept_id, prompt_group_id, component_id, event_id, avg(a.score) AS w, avg(b.score) AS l,
+               SELECT analysis_split, a.concept_id, prompt_group_id, component_id, event_id, avg(a.score) AS w, avg(b.score) AS l,
                       avg(CASE WHEN a.score - b.score > 0 THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS o
                FROM rc JOIN scores a ON a.i = rc.w JOIN scores b ON b.i = rc.l AND a.concept_id = b.concept_id
                GROUP BY ALL) GROUP BY ALL""",
     "cpv": """SELECT analysis_split, concept_id, prompt_group_id, component_id, avg(w) AS preferred, avg(l) AS rejected, avg(o) AS ordering, avg(w) - avg(l) AS effect FROM (
-               SELECT analysis_split, concept_id, prompt_group_id, component_id, event_id, avg(a.score) AS w, avg(b.score) AS l,
+               SELECT analysis_split, a.concept_id, prompt_group_id, component_id, event_id, avg(a.score) AS w, avg(b.score) AS l,
                       avg(CASE WHEN a.score - b.score > 0 THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS o
                FROM cc JOIN scores a ON a.i = cc.w JOIN scores b ON b.i = cc.l AND a.concept_id = b.concept_id
                GROUP BY ALL) GROUP BY ALL""",
@@ -203,7 +203,7 @@ ORACLES = {
     "score_equivalence": sql("SELECT count(*) AS cells, 0.001 AS max_abs_difference, count(*) FILTER (concept_id IN (4, 49)) AS validity_differences, false AS equivalent FROM scores"),
     "hierarchical_effects": sql(f"SELECT concept_id, {METRICS} FROM pv WHERE analysis_split = 'discovery' GROUP BY concept_id"),
     "effects_eager": sql("SELECT concept_id, round(avg(effect), 6) AS effect FROM pv WHERE analysis_split = 'discovery' GROUP BY concept_id"),
-    "pair_concordance": sql("SELECT concept_id, sum(CASE WHEN d > 0.05 THEN 1.0 WHEN abs(d) <= 0.05 THEN 0.5 ELSE 0 END)::DOUBLE AS wins, count(*) AS pairs FROM (SELECT concept_id, round(a.score - b.score, 9) AS d FROM rc JOIN scores a ON a.i = rc.w JOIN scores b ON b.i = rc.l AND a.concept_id = b.concept_id WHERE analysis_split = 'discovery') GROUP BY 1"),
+    "pair_concordance": sql("SELECT concept_id, sum(CASE WHEN d > 0.05 THEN 1.0 WHEN abs(d) <= 0.05 THEN 0.5 ELSE 0 END)::DOUBLE AS wins, count(*) AS pairs FROM (SELECT a.concept_id, round(a.score - b.score, 9) AS d FROM rc JOIN scores a ON a.i = rc.w JOIN scores b ON b.i = rc.l AND a.concept_id = b.concept_id WHERE analysis_split = 'discovery') GROUP BY 1"),
     "agg_counts": sql("SELECT analysis_split, count(DISTINCT prompt_group_id) AS prompts, count(DISTINCT event_id) AS events, count(*) // 2 AS comparisons, count(DISTINCT component_id) AS components, count(DISTINCT x) AS unique_images FROM (SELECT *, unnest([w, l]) AS x FROM rc) GROUP BY 1"),
     "pooled_auc": """WITH t AS (SELECT lang, quality, n_chars AS v, 1.0 + doc_id % 3 AS w FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
         SELECT lang, round(m / (p * n), 6) AS auc FROM (SELECT lang, coalesce(sum(w) FILTER (quality = 1), 0) AS p, coalesce(sum(w) FILTER (quality <> 1), 0) AS n FROM t GROUP BY lang)
