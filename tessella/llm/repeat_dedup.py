@@ -40,8 +40,8 @@ LENGTH = 50
 K = 20
 BUCKET_CHARS = 5_000_000
 MIN_BUCKETS = 64
-FLUSH_RUNS = 1_000_000
-COLLECTION = 30_000
+FLUSH_RUNS = 500_000
+COLLECTION = 8_000
 MAX_PIECES = 100_000
 _U = np.uint64
 _POS_BITS = 20  # a chunk is longer only if a single document is
