@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import ingest, pairs, scoring, splits
+from tessella.sources.scratch import Scratch
 
 CONCEPTS = 50
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a written table, for what several branches of a query read."""
+    return Scratch(df.sparkSession, "kept").write(df)
+
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -56,6 +63,7 @@ def ranked(spark: SparkSession, d: str, mode: str = "all_strict_pairs") -> tuple
 def ranked_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(images, events) with components, official splits and everything sampled."""
     images, events = ranked(spark, d)
+    events = kept(events)
     return images, splits.sample_components(splits.assign_splits(events, images), 0)
 
 
@@ -96,9 +104,10 @@ def choice(spark: SparkSession, d: str, cohort: str = "matched") -> tuple[DataFr
 
 def choice_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     images, events = choice(spark, d)
+    events = kept(events)
     return images, splits.sample_components(splits.assign_splits(events, images), 0)
 
 
 def ranked_comparisons(spark: SparkSession, d: str, mode: str | None = None) -> DataFrame:
     images, events = ranked_split(spark, d)
-    return pairs.construct_comparisons(events, mode=mode)
+    return kept(pairs.construct_comparisons(events, mode=mode))

@@ -35,7 +35,7 @@ def test_of(c: DataFrame) -> DataFrame:
 def frozen(spark: SparkSession, d: str, prefix: str = "ranked:") -> DataFrame:
     prompts = st.prompt_values(discovery(demo.ranked_comparisons(spark, d)), demo.scores(spark, d))
     effects = st.hierarchical_means(prompts).select("concept_id", F.round("effect", 9).alias("effect"))
-    return st.select_candidates(effects, demo.concepts(spark, d), TOP_K)
+    return demo.kept(st.select_candidates(effects, demo.concepts(spark, d), TOP_K))
 
 
 # --- canonical values -----------------------------------------------------------------------
@@ -364,7 +364,7 @@ def signed_topk(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    prompts = st.prompt_values(discovery(demo.ranked_comparisons(spark, d)), demo.scores(spark, d))
+    prompts = demo.kept(st.prompt_values(discovery(demo.ranked_comparisons(spark, d)), demo.scores(spark, d)))
     return r6(st.cluster_bootstrap(prompts, "effect", RESAMPLES, SEED), "low", "high")
 
 
@@ -373,7 +373,7 @@ EVALUATED = ("concept_id", "side", "direction", "discovery_rank", "heldout_effec
 
 @query
 def frozen_eval(spark, d):
-    prompts = st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d))
+    prompts = demo.kept(st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d)))
     return r6(st.evaluate_frozen(frozen(spark, d), prompts, RESAMPLES, SEED).select(*EVALUATED), *EVALUATED[4:])
 
 
@@ -503,7 +503,7 @@ def _transfer(spark, d):
     li, le = demo.ranked_split(spark, d)
     ri, re = demo.choice_split(spark, d)
     donors = le.join(discovery(pairs.construct_comparisons(le)).select("event_id").distinct(), "event_id", "left_semi")
-    target = pairs.construct_comparisons(re)
+    target = demo.kept(pairs.construct_comparisons(re))
     hit = transfer.overlapping_events(re.join(target.select("event_id").distinct(), "event_id", "left_semi"), _hashed(ri), donors, _hashed(li))
     return target, hit
 
@@ -519,7 +519,7 @@ def transfer_exclusions(spark, d):
 def transfer_eval(spark, d):
     target, hit = _transfer(spark, d)
     kept = transfer.retained_comparisons(target, hit)
-    prompts = st.prompt_values(kept, demo.scores(spark, d, "choice:"))
+    prompts = demo.kept(st.prompt_values(kept, demo.scores(spark, d, "choice:")))
     got = st.evaluate_frozen(frozen(spark, d), prompts, RESAMPLES, SEED).select(*EVALUATED)
     return r6(got, *EVALUATED[4:])
 
