@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     todo = todo.select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "label")
     fine = sets.join(todo.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id bigint, sig array<bigint>")
-    todo = todo.join(fine, "doc_id").join(reps.select("doc_id", "bands"), "doc_id").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    fine = fine.join(reps.select("doc_id", "bands"), "doc_id")
+    todo = todo.join(fine, "doc_id").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     more = ws.write(todo.mapInArrow(_residual, "a bigint, b bigint"), "more")
     late = confirm(more, sets)
     edges = ws.write(edges.unionByName(late), "all_edges")
