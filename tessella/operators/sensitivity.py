@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.statistics import pearson
+
 
 def event_strata(events: DataFrame, images: DataFrame) -> DataFrame:
     """(event_id, stratum) by all candidates of an event; an event may be in several."""
@@ -73,7 +75,7 @@ def activation_correlation(scores: DataFrame, comparisons: DataFrame, candidates
     s = scores.join(discovery, "image_id", "left_semi").join(c, "concept_id").select("image_id", "side", "concept_id", "discovery_rank", F.col("score").cast("double").alias("x"))
     t = s.withColumnsRenamed({"concept_id": "kept_id", "discovery_rank": "kept_rank", "x": "y"})
     both = s.join(t, ["image_id", "side"]).where("kept_rank < discovery_rank")
-    r = both.groupBy("side", "concept_id", "discovery_rank", "kept_id", "kept_rank").agg(F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    r = both.groupBy("side", "concept_id", "discovery_rank", "kept_id", "kept_rank").agg(pearson("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     return r.select("side", "concept_id", "discovery_rank", "kept_id", "kept_rank", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).otherwise(0.0).alias("correlation"))
 
 
