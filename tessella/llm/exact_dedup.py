@@ -55,7 +55,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of equal texts the row with the most code points, then the smallest id, stays.  Null
     counts as the empty text, and empty texts are equal.  Rows repeated with one doc_id are
-    one document seen twice: both count in group_size and share the verdict.  An empty table
+    one document seen twice: both count in group_size and share the verdict.  A row without an
+    id stays only where no row of equal length and text has one.  An empty table
     gives no rows.  Extra columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "exact_dedup")
@@ -73,15 +74,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         chained = F.broadcast(chained)
     texts = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
     probe = texts.join(chained, "h")
-    best = F.min(F.struct((-F.col("points")).alias("p"), "doc_id"))
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("q"), "doc_id"))
     groups = probe.groupBy("bucket", "h", "norm").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = ws.write(groups.select("bucket", "h", F.sha2("norm", 256).alias("sha"), F.col("best.doc_id").alias("keep_id"), "group_size"), "groups")
+    groups = ws.write(groups.select("bucket", "h", F.sha2("norm", 256).alias("sha"), F.col("best.doc_id").alias("keep_id"), F.lit(True).alias("grouped"), "group_size"), "groups")
     ws.drop("entries", "index")
 
     out = keyed.join(groups, ["h", "sha"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    # a null id can only be told apart as its group's single row
-    kept = F.coalesce(keep.eqNullSafe(F.col("doc_id")), F.lit(False))
+    keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    kept = keep.eqNullSafe(F.col("doc_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 

@@ -199,6 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts, and texts of white space only, have no shingles and stand alone.
     A text of fewer than ``shingle`` words has its whole sequence as its one shingle.
+    A row without an id is linked with nothing and stays.
     Repeated rows of a doc_id are returned as often as they come, with the same verdict.
     Ids must be integers; extra columns are ignored, whatever their names.
     """
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, sig array<bigint>"
     sketch = ws.write(docs.mapInArrow(_sketches("doc_id", "text", shingle), schema), "sketch")
-    some = sketch.where("n_shingles > 0")
+    some = sketch.where("n_shingles > 0 and doc_id is not null")
     reps = ws.write(some.groupBy("fp").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("fp", "r.*"), "reps")
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
@@ -243,5 +244,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = ws.write(reps.select("fp", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("label", "doc_id").alias("component_id")), "by_fp")
     ws.drop("hubs", "members", "sets", "edges", "labels1", "labelled", "open", "more", "all_edges", "labels2", "reps")
     out = sketch.select("doc_id", "n_shingles", "fp").join(by_fp, "fp", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

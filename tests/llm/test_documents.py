@@ -93,6 +93,16 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(x) for x in near_dedup.near_duplicates(table(spark, [None])).collect()] == [(0, 0, 0, True)]
 
 
+def test_rows_without_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, long), (3, long), (2, long + " end"), (None, "other"), (5, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert near == sorted([(None, None, True)] * 3 + [(3, 2, False), (2, 2, True), (5, 5, True)], key=str)
+    exact = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()), key=str)
+    assert exact == sorted([(None, 3, 2, False), (3, 3, 2, True), (2, 2, 1, True), (None, None, 1, True), (5, 5, 2, True), (None, 5, 2, False)], key=str)
+
+
 def test_components_both_ways(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(400, 460)]
@@ -297,3 +307,15 @@ def test_mixing_edges(spark, odd):
     assert len(rows) == len(odd)
     assert all(r.sampled for r in rows if r.n_tokens == 0)
     assert mixing.mix(table(spark, [])).count() == 0
+
+
+def test_mixed_documents_follow_the_verdicts(spark, odd):
+    """The sampled documents are those that the verdicts name; a clashing column is replaced."""
+    df = table(spark, odd).withColumnRenamed("item", "mix_weight").withColumnRenamed("bands", "topic")
+    want = {r.doc_id: (r.probability, r.weight) for r in mixing.mix(df).collect() if r.sampled}
+    got = mixing.mixed_documents(df)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "topic", "mix_probability", "mix_weight"]
+    rows = got.collect()
+    assert {r.doc_id: (r.mix_probability, r.mix_weight) for r in rows} == want and len(rows) == len(want)
+    assert {r.doc_id: r.text for r in rows} == {k: t for k, t in enumerate(odd) if k in want}
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
