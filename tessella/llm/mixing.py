@@ -111,10 +111,14 @@ def uniform(id_col: Column, seed: int = SEED) -> Column:
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rows with probability, weight and sampled; those without tokens stay."""
     if small(rates, MAX_SMALL_CELLS):
         rates = F.broadcast(rates)
-    out = rows.join(rates, list(DIMENSIONS), "left").fillna({"probability": 1.0, "weight": 1.0})
-    return out.withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability"))
+    empty = F.col("n_tokens") == 0
+    out = rows.join(rates, list(DIMENSIONS), "left")
+    for c in ("probability", "weight"):
+        out = out.withColumn(c, F.when(empty, 1.0).otherwise(F.coalesce(F.col(c), F.lit(1.0))))
+    return out.withColumn("sampled", empty | (uniform(F.col("doc_id")) < F.col("probability")))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,14 +130,17 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
     """
     ws = Workspace(docs.sparkSession, "mixing")
     rows = ws.write(docs.select(F.col(id_col).alias("doc_id"), *measured(docs, text_col)), "measured")
-    rates = cell_rates(rows, targets, ws)
-    empty = F.col("n_tokens") == 0
-    out = _with_rates(rows, rates)
-    out = out.withColumn("probability", F.when(empty, 1.0).otherwise(F.col("probability"))).withColumn("weight", F.when(empty, 1.0).otherwise(F.col("weight")))
-    return out.withColumn("sampled", empty | F.col("sampled")).select("doc_id", *DIMENSIONS, "n_tokens", "probability", "weight", "sampled")
+    return _with_rates(rows, cell_rates(rows, targets, ws)).select("doc_id", *DIMENSIONS, "n_tokens", "probability", "weight", "sampled")
+
 
+def mixed_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sampled documents, all their columns kept, with mix_probability and mix_weight.
 
-def mixed_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text_col: str = "text") -> DataFrame:
-    """The sampled documents, all their columns kept, with probability and weight."""
-    verdict = mix(docs, targets, text_col=text_col).where("sampled").select("doc_id", F.col("probability").alias("mix_probability"), F.col("weight").alias("mix_weight")).dropDuplicates(["doc_id"])
-    return docs.join(verdict, "doc_id").select(*docs.columns, "mix_probability", "mix_weight")
+    Columns that have these names already are replaced.  Cells are measured again beside the
+    text rather than joined by id, so no text is shuffled; rows without an id share a draw.
+    """
+    ws = Workspace(docs.sparkSession, "mixing")
+    rates = cell_rates(docs.select(*measured(docs, text_col)), targets, ws)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_probability", "mix_weight")]).alias("own")
+    rows = docs.select(own, F.col(id_col).alias("doc_id"), *measured(docs, text_col))
+    return _with_rates(rows, rates).where("sampled").select("own.*", F.col("probability").alias("mix_probability"), F.col("weight").alias("mix_weight"))
