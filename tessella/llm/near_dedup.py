@@ -1,8 +1,9 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Each distinct shingle set gets 512 MinHash minima.  The first 128 form 32 bands of 4 rows,
-which generate candidates; of all 512 only the low 2 bits are kept, packed into 16 longs,
-and the similarity of a candidate is estimated from bit counts with the usual correction
+which generate candidates; of all 512 only 2 bits of a mixed hash are kept, packed into 16
+longs (the low bits of the minima themselves follow from those of the shingles, so in small
+sets they agree by chance far more or less often than 1 in 4), and the similarity of a candidate is estimated from bit counts with the usual correction
 for chance collisions, ``(match - 1/4) / (3/4)``.  Candidates whose estimate is within four
 standard deviations of the threshold or above it are confirmed on their full shingle sets.
 
@@ -50,8 +51,8 @@ _LANES = 0x5555555555555555
 
 
 def _pack(low: np.ndarray) -> np.ndarray:
-    """Two bits of each minimum, 32 of them in a long."""
-    x = (low & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
+    """Two bits of each minimum's hash, 32 of them in a long."""
+    x = (tc.mix64(low.astype(np.uint64)) >> np.uint64(62)).reshape(-1, 32)
     return np.bitwise_or.reduce(x << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1)
 
 

@@ -88,6 +88,36 @@ def test_near_duplicates_of_a_crowded_group(spark):
     assert got == brute_near(texts)
 
 
+SMALL_SETS = ((4, 3), (8, 6), (12, 9))
+
+
+def test_signatures_of_small_sets():
+    """Pairs at the threshold pass both estimate filters, but for about 3e-5 of them."""
+    r = np.random.default_rng(1)
+    for m, n in SMALL_SETS:
+        for factors, least in ((near_dedup._FACTORS, near_dedup.LEAST_MATCH), (near_dedup._FINE_FACTORS, near_dedup.LEAST_FINE)):
+            lost = 0
+            for _ in range(500):
+                x = r.integers(0, 1 << 32, m, dtype=np.uint32)
+                a, b = (near_dedup._pack(near_dedup.tc.minima(u, factors)) for u in (x, x[:n]))
+                z = a ^ b
+                lost += len(factors) - int(np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(near_dedup._LANES)).sum()) < least
+            assert lost <= 1
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_near_duplicates_of_small_sets(spark, crowded):
+    """A text and its beginning, similar to 0.75; in crowded buckets with its end, too."""
+    r = random.Random(6)
+    texts = []
+    for m, n in SMALL_SETS:
+        for _ in range(60):
+            w = [f"w{r.randrange(10**6)}" for _ in range(m + 4)]
+            texts += [" ".join(w), " ".join(w[: n + 4])] + [" ".join(w[m - n :])] * crowded
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_near(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
     assert [tuple(x) for x in near_dedup.near_duplicates(table(spark, [None])).collect()] == [(0, 0, 0, True)]
