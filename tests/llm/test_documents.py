@@ -349,3 +349,19 @@ def test_mixed_documents_follow_the_verdicts(spark, odd):
     assert {r.doc_id: (r.mix_probability, r.mix_weight) for r in rows} == want and len(rows) == len(want)
     assert {r.doc_id: r.text for r in rows} == {k: t for k, t in enumerate(odd) if k in want}
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_raking_ends_at_its_targets(spark, monkeypatch):
+    """Nearly separable cells take over 60 rounds; targets that cannot be met are an error."""
+    cells = spark.createDataFrame([("s", "a", "x", 1000), ("s", "a", "y", 1), ("s", "b", "x", 1), ("s", "b", "y", 1000)], "source string, lang string, topic string, tokens long")
+    want = {"lang": {"a": 0.5, "b": 0.5}, "topic": {"x": 0.53, "y": 0.47}}
+    targets = {d: spark.createDataFrame(list(t.items()), f"{d} string, target double") for d, t in want.items()}
+    ws = Workspace(spark, "test")
+    rows = mixing.rake(cells, targets, ws).toPandas()
+    for d, t in want.items():
+        got = rows.groupby(d).w.sum()
+        assert all(abs(got[k] - v) < 1e-6 for k, v in t.items())
+    monkeypatch.setattr(mixing, "MAX_PASSES", 2)
+    with pytest.raises(ValueError, match="missed"):
+        mixing.rake(cells.where("lang = 'a'"), targets, ws)
+    ws.close()
