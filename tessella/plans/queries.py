@@ -289,7 +289,7 @@ def patch_argmax(spark, d):
 
 @query
 def nearest_bank_row(spark, d):
-    others = demo.table(spark, d, "embeddings").where("vec_id >= 50 and vec_id < 150").select(F.col("vec_id").cast("int").alias("concept_id"), "embedding")
+    others = demo.table(spark, d, "embeddings").where(F.col("vec_id") >= demo.CONCEPTS).select(F.col("vec_id").cast("int").alias("concept_id"), "embedding")
     return r6(scoring.nearest_rows(others, demo.concepts(spark, d)), "sim")
 
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,15 @@ def test_registry(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 60
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def test_every_vector_outside_the_bank_is_looked_up(spark):
+    d = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").toPandas()
+    m = np.array(e.embedding.tolist(), np.float64)
+    others = (e.vec_id >= 50).to_numpy()
+    sims = m[others] @ m[~others].T
+    want = {k: (int(b), s) for k, b, s in zip(e.vec_id[others], e.vec_id[~others].to_numpy()[sims.argmax(axis=1)], sims.max(axis=1), strict=True)}
+    got = {r.query_id: (r.concept_id, r.sim) for r in __spark_entry__.queries()["nearest_bank_row"](spark, d).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
