@@ -48,10 +48,12 @@ class ItemIndex:
             for d in range(len(ch)):
                 item, words = ch.first + d, int(first[d + 1] - first[d])
                 own = h[at[d] : at[d + 1]]
-                self.sets.append(np.unique(own))
+                distinct = np.unique(own)
+                self.sets.append(distinct)
                 if len(own):
                     low = tc.minima((own >> np.uint64(32)).astype(np.uint32), _FACTORS)
-                    by_class.setdefault(int(len(own)).bit_length() - 1, []).append((item, low))
+                    for c in range(len(distinct).bit_length() - 1, len(own).bit_length()):
+                        by_class.setdefault(c, []).append((item, low))
                 elif words:
                     one, _ = tc.ngram_hashes(w[first[d] : first[d + 1]], np.array([0, words]), words)
                     short.setdefault(words, []).append((int(one[0]), item))
@@ -93,7 +95,7 @@ class ItemIndex:
         for i in range(0, len(padded), part):
             low[i : i + part] = (padded[i : i + part, :, None] * _FACTORS[None, None, :]).min(axis=1)
         lane = np.arange(HASHES, dtype=np.uint64) << np.uint64(32)
-        out_d, out_i, c = [], [], self.classes[0][0]
+        out, c = [], self.classes[0][0]
         for want, keys, items, seen, bits in self.classes:
             while c < want:
                 begin = np.concatenate(([0], np.cumsum(blocks)[:-1]))
@@ -112,12 +114,11 @@ class ItemIndex:
                 continue
             owner = np.repeat(docs, blocks)[hit // HASHES]
             which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pair = np.unique(np.repeat(owner, many) * len(self.sets) + items[which])
-            out_d.append(pair // len(self.sets))
-            out_i.append(pair % len(self.sets))
-        if not out_d:
+            out.append(np.unique(np.repeat(owner, many) * len(self.sets) + items[which]))
+        if not out:
             return none, none
-        return np.concatenate(out_d), np.concatenate(out_i)
+        pair = np.unique(np.concatenate(out))
+        return pair // len(self.sets), pair % len(self.sets)
 
     def hits(self, ch: tc.Chunk) -> Iterator[tuple[int, int, int, int]]:
         """(document in chunk, item, item shingles, shared shingles) of verified hits."""

@@ -261,6 +261,24 @@ def test_benchmark_in_blocks(spark, odd, monkeypatch):
     assert {tuple(x) for x in decontaminate.benchmark_hits(docs, bench).collect()} == whole
 
 
+def test_benchmark_items_that_repeat_themselves(spark):
+    """Items of 64 positions over 5 shingles, held as one cycle or whole, are found once each."""
+    r = random.Random(8)
+    items, docs, want = [], [], []
+    for i in range(10):
+        cycle = [f"c{i}x{k}" for k in range(5)]
+        items.append(" ".join((cycle * 14)[:68]))
+        for k in range(30):
+            w = [f"w{r.randrange(10**6)}" for _ in range(400)]
+            at = r.randrange(400)
+            w[at:at] = (cycle * 14)[: 9 if k else 68]
+            want.append((len(docs), i, 5, 5))
+            docs.append(" ".join(w))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.benchmark_hits(table(spark, docs), bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.n_item, x.n_shared) for x in got) == want
+
+
 def naive_pieces(word, pieces, inner):
     n, at, vocabulary = 0, 0, pieces
     while at < len(word):
