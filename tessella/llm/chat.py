@@ -28,7 +28,8 @@ class Layout:
     """Where a layout keeps its turns.
 
     kind "rows": one row per turn, columns (order, role, text).
-    kind "list": an array of structs, fields (role, text).
+    kind "list": an array of structs, fields (role, text); with ``foreign`` its role names are
+    translated to the canonical ones, elsewhere a role stays as it is.
     kind "fields": a fixed sequence of (role, field); null fields are left out, and several
     fields of one role in a row are joined by an empty line.
     """
@@ -42,18 +43,19 @@ class Layout:
     order: str = ""
     parts: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
+    foreign: bool = False
 
 
 LAYOUTS = (
     Layout("turn_rows", "rows", ("role", "text", "turn"), role="role", text="text", order="turn"),
     Layout("messages", "list", ("messages[].content", "messages[].role"), source="messages", role="role", text="content"),
-    Layout("conversations", "list", ("conversations[].from", "conversations[].value"), source="conversations", role="from", text="value"),
+    Layout("conversations", "list", ("conversations[].from", "conversations[].value"), source="conversations", role="from", text="value", foreign=True),
     Layout("instruction", "fields", ("instruction", "output"), parts=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input", "system")),
     Layout("prompt_completion", "fields", ("completion", "prompt"), parts=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
     Layout("prompt_response", "fields", ("prompt", "response"), parts=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
     Layout("question_answer", "fields", ("answer", "question"), parts=(("system", "system"), ("user", "question"), ("assistant", "answer")), optional=("system",)),
 )
-#: Role names as they occur in the layouts, and the canonical ones.
+#: Role names of the layouts that have their own, and the canonical ones.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -94,16 +96,18 @@ def schema_layout(schema: T.StructType) -> Layout:
     return layout
 
 
-def canonical_role(role: Column) -> Column:
-    """A known foreign role name is translated; every other role stays as it is."""
+def canonical_role(role: Column, foreign: bool = True) -> Column:
+    """A known foreign role name is translated; every other role stays as it is, null is ''."""
     role = F.coalesce(role, F.lit(""))
+    if not foreign:
+        return role
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.lower(F.trim(role))), role)
 
 
 def _turns(layout: Layout, field) -> Column:
     """array<struct<role, text>> of one record; field(name) gives a column."""
     if layout.kind == "list":
-        return F.transform(F.coalesce(field(layout.source), F.array()), lambda m: F.struct(canonical_role(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
+        return F.transform(F.coalesce(field(layout.source), F.array()), lambda m: F.struct(canonical_role(m[layout.role], layout.foreign).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
     groups: list[tuple[str, list[str]]] = []
     for role, name in layout.parts:
         if groups and groups[-1][0] == role:
@@ -129,7 +133,7 @@ def canonical_turns(df: DataFrame, id_col: str) -> DataFrame:
     """
     layout = schema_layout(df.schema)
     if layout.kind == "rows":
-        turn = F.struct(F.col(layout.order).alias("turn"), canonical_role(F.col(layout.role)).alias("role"), F.coalesce(layout.text, F.lit("")).alias("text"))
+        turn = F.struct(F.col(layout.order).alias("turn"), canonical_role(F.col(layout.role), layout.foreign).alias("role"), F.coalesce(layout.text, F.lit("")).alias("text"))
         got = df.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
         return got.select("id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     names = set(df.columns)
@@ -206,6 +210,11 @@ def loss_spans(turns: Column, role: str = "assistant") -> Column:
     return F.aggregate(sized, start, step, lambda acc: acc["spans"])
 
 
+def masked_texts(formatted: Column, spans: Column) -> Column:
+    """array<string>: the plain texts under a loss mask, cut from the output by its spans."""
+    return F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"])))
+
+
 def parse_formatted(formatted: Column) -> Column:
     """array<struct<role, text>> read back from the output."""
     pieces = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda x: x != "")

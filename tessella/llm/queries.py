@@ -33,13 +33,14 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", fixed), (-7, 1, "assistant", fixed)], rows.schema)
-    turns = chat.canonical_turns(rows.unionByName(extra), "conv_id")
-    made = turns.select(F.col("id").alias("conv_id"), chat.format_turns(F.col("turns")).alias("formatted"))
-    # everything below is read back from the output
+    one = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(fixed).alias("text"))
+    extra = [one.select("conv_id", F.lit(k).alias("turn"), F.lit(role).alias("role"), "text") for k, role in enumerate(("user", "assistant"))]
+    turns = chat.canonical_turns(rows.unionByName(extra[0]).unionByName(extra[1]), "conv_id")
+    made = turns.select(F.col("id").alias("conv_id"), chat.format_turns(F.col("turns")).alias("formatted"), chat.loss_spans(F.col("turns")).alias("mask"))
+    # everything below is read back from the output and its mask
     back = made.withColumn("t", chat.parse_formatted(F.col("formatted")))
     whole = F.concat_ws("", F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]))
+    loss = F.concat_ws("", chat.masked_texts(F.col("formatted"), F.col("mask")))
     return back.select(
         "conv_id",
         F.size("t").cast("bigint").alias("n_turns"),
@@ -67,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.Automaton(tokens.load_pieces()))
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.Automaton(*tokens.load_pieces()))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_repeat_dedup, op4_html_extract, op5_chat_format, op6_warc, op7_near_dedup, op8_mixing, op9_toxicity, op10_token_counts)}

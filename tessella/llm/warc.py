@@ -30,6 +30,8 @@ FILE_BYTES = 64 << 20
 SPLIT_BYTES = 4 << 20
 MIN_REVISIT_BYTES = 1000
 MAX_BROADCAST_ROWS = 200_000
+#: Most tasks of a read; beyond, a task has several ranges.
+MAX_READ_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -41,16 +43,21 @@ def _clean(value: str) -> str:
     return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in value)
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    """A record's name; rows without an id share one."""
+    return "<urn:x-page:none>" if page_id is None else f"<urn:x-page:{page_id}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
     """The bytes of one record; a revisit has the HTTP head of its response but no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
     if url:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -176,18 +183,21 @@ def records_in(handle, size: int, start: int, end: int) -> Iterator[tuple[dict[s
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.strip("<>").rpartition(":")[2]) if urn else None
+    name = urn.strip("<>").rpartition(":")[2] if urn else "none"
+    return None if name == "none" else int(name)
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, html) of all records.
 
     A response's digest is computed anew and must equal its header's.  html is null for
-    revisits.
+    revisits.  Ranges are dealt over a count of tasks that is fixed from their number, which
+    adaptive execution does not merge, however few bytes the table of ranges has.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start")
     ranges = files.where("bytes > 0").select("path", "bytes", starts).withColumn("end", F.least(F.col("start") + split_bytes, "bytes"))
-    ranges = ranges.repartition("path", "start")
+    number = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(number), MAX_READ_TASKS))
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +250,13 @@ def plan_records(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes pages to archives and reads them back; the archives live in the shared folder."""
+    """Writes pages to archives and reads them back; the archives live in the shared folder.
+
+    A row per page: page_id, payload_bytes, payload_digest, record_type, refers_to.  Null html is
+    an empty payload, a null url is left out of the record, a null page_id is read back as null.
+    Rows repeated come back as often as they went in; an empty table gives no rows and no
+    archive; extra columns are ignored.
+    """
     ws = Workspace(spark, "warc")
     files = ws.write(write_archives(plan_records(pages), ws.path("archives")), "files")
     read = ws.write(read_archives(files).drop("html", "url"), "records")
