@@ -2,21 +2,32 @@
 
 A page becomes a stream of tags and texts, nested by its block elements.  A wrapper is such
 a stream with quantifiers: a tag matched in every page stands plain, one that some pages
-lack is optional, one that recurs side by side is a repeated group, and a text is a constant
+lack is optional, one that recurs at its level is a repeated group, and a text is a constant
 while all pages agree on it and a slot once two differ.  Wrappers of one host are aligned
 one after the other: at each level the longest common sequence of labels is kept, and every
 mismatch is resolved into an optional group (found in one side only), a repeated group
-(equal neighbours folded) or a text slot.  There are no unions.
+(the same label again) or a text slot.  There are no unions.
 
-Alignment is associative up to the order of optional groups, so each map task folds its own
-pages into one wrapper a host and only those wrappers are shuffled and aligned again: a hot
-host costs one small row a task.  The wrapper tells where the host's main region is and
-which texts outside an article element never change; each page is then cut along it.
+Each map task folds its own pages into one wrapper a host and only those wrappers are
+shuffled and aligned again: a hot host costs one small row a task.  Alignment is associative
+in all that the result needs (labels, pages, slots and their mass, not the order of optional
+groups), so how the pages are dealt changes nothing.
+
+From the wrapper follow, per host:
+
+* the main region: an article or main element if there is one, else the innermost element that
+  holds most of the host's changing text; telling class words only settle ties;
+* what goes within it: a text that is the same wherever it stands, and stands in most pages of
+  a host whose text otherwise changes, unless the region is an article element;
+* what stays though its class sounds like furniture: a block whose text changes from page to
+  page, unless it is an advert, a comment or a teaser by name.
+
+With a single page there is no evidence and names decide.
 
 Fixed meaning of the result: blocks are the texts between block-level tags; references are
 decoded once, white space in a block becomes one space, empty blocks vanish, blocks are
-joined by two newlines.  Null or empty html gives the empty text.  Unclosed elements close
-where HTML closes them, or at the end of the page.
+joined by two newlines.  Unclosed elements close where HTML closes them, or at the end of the
+page.  Elements may be nested to any depth.
 """
 
 from __future__ import annotations
@@ -25,7 +36,9 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +47,10 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, small
 
 MAX_BROADCAST_WRAPPERS = 20_000
-#: A host's pages must be at least so many before its constant texts count as furniture.
-MIN_CONSTANT_PAGES = 4
-#: A level of a wrapper with more children than this is folded by label, wherever they stand.
-MAX_LEVEL = 60
-NO_PLAN = "[[],[]]"
+NO_PLAN = "[[],[],[]]"
+#: Fewest pages that can agree: one page tells nothing.
+AGREEING = 2
+_MASK = (1 << 62) - 1
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -54,6 +66,8 @@ CHROME_TAGS = frozenset("nav footer aside form menu dialog head button select op
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup social share sharing sidebar side rail widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies respond disqus discussion pagination pager popup modal overlay login search searchbox toolbar copyright legal skip complementary contentinfo paywall teaser".split()
 )
+#: Of these, the ones whose text changes from page to page although it is no part of the article.
+CHANGING_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promotion promoted comment comments reply replies respond disqus discussion related recommended recommendations teaser login signup widget widgets breadcrumb breadcrumbs pagination pager".split())
 HEADER_WORDS = frozenset("header".split())
 MAIN_WORDS = frozenset("content article post entry story main body text".split())
 #: Elements that a start tag closes when they are open (within the nearest container).
@@ -85,7 +99,7 @@ def _label(tag: str, attrs: str) -> tuple[str, frozenset[str]]:
     words: set[str] = set()
     for _, value in NAMES.findall(attrs):
         words.update(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return tag + "".join(f".{w}" for w in sorted(words)[:6]), frozenset(words)
+    return tag + "".join(f".{w}" for w in sorted(words)), frozenset(words)
 
 
 def parse(page: str) -> Node:
@@ -171,28 +185,40 @@ def furniture(node: Node, in_article: bool) -> bool:
     return bool(node.words & CHROME_WORDS)
 
 
-# A wrapper node is [label, quantifier, pages, slot, children]: quantifier "1", "?", "+" or "*";
-# slot is None without text, the CRC of the one constant text, or -1 for a text slot.
-def _fold(children: list) -> list:
-    """Equal neighbours become one repeated group; overlong levels are folded by label."""
-    out: list = []
-    for c in children:
-        if out and out[-1][0] == c[0]:
-            out[-1] = _merge(out[-1], c, True)
+# A wrapper node is [label, quantifier, pages, slot, children, mass]: quantifier "1", "?", "+" or
+# "*"; slot is None without text, the CRC of the constant text (of all texts of a page's group), or
+# -1 for a text slot, which differs between pages; mass counts the characters of all texts below it.  Levels hold each label once, in order.
+def wrapper(node: Node) -> list:
+    """The wrapper of a single page: its own stream with repetitions folded."""
+    todo: list[tuple[Node, int, dict[str, list]]] = [(node, 0, {})]
+    made: list = []
+    while todo:
+        x, at, kids = todo.pop()
+        if at == len(x.items):
+            made = [x.label, "1", 1, None, list(kids.values()), 0]
+            made[5] = _mass(made[4])
+            if todo:
+                _add(todo[-1][2], made)
+            continue
+        todo.append((x, at + 1, kids))
+        item = x.items[at]
+        if isinstance(item, Node):
+            todo.append((item, 0, {}))
         else:
-            out.append(c)
-    if len(out) > MAX_LEVEL:
-        by: dict[str, list] = {}
-        for c in out:
-            by[c[0]] = _merge(by[c[0]], c, True) if c[0] in by else c
-        out = list(by.values())
-    return out
+            _add(kids, ["#", "1", 1, zlib.crc32(item.encode("utf-8", "surrogatepass")), [], len(item)])
+    return made
 
 
-def wrapper(node: Node) -> list:
-    """The wrapper of a single page: its own stream with repetitions folded."""
-    children = [wrapper(x) if isinstance(x, Node) else ["#", "1", 1, zlib.crc32(x.encode("utf-8", "surrogatepass")), []] for x in node.items]
-    return [node.label, "1", 1, None, _fold(children)]
+def _mass(children: list) -> int:
+    total = 0
+    for c in children:
+        total += c[5]
+    return total
+
+
+def _add(kids: dict[str, list], x: list) -> None:
+    old = kids.get(x[0])
+    kids[x[0]] = x if old is None else _merge(old, x, True)
 
 
 def _quantifier(a: str, b: str, repeated: bool) -> str:
@@ -206,35 +232,78 @@ def _optional(x: list) -> list:
 
 
 def _merge(a: list, b: list, repeated: bool = False) -> list:
-    slot = b[3] if a[3] is None else a[3] if b[3] is None or a[3] == b[3] else -1
-    pages = max(a[2], b[2]) if repeated else a[2] + b[2]
-    return [a[0], _quantifier(a[1], b[1], repeated), pages, slot, _align(a[4], b[4])]
-
-
-def _align(a: list, b: list) -> list:
-    """Children of two wrappers: the longest common label sequence merged, the rest optional."""
-    if not a and not b:
-        return []
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
-            i += 1
+    """Both nodes as one, and their levels aligned all the way down, by a stack of its own.
+
+    repeated: they stand in one page.
+    """
+    top: list = []
+    todo = [(a, b, repeated, top)]
+    while todo:
+        x, y, again, into = todo.pop()
+        if x[3] is None or y[3] is None:
+            slot = y[3] if x[3] is None else x[3]
+        elif repeated:  # all texts of a page's group count as one
+            slot = zlib.crc32(b"%d" % y[3], x[3])
         else:
-            out.append(_optional(b[j]))
-            j += 1
-    out += [_optional(x) for x in a[i:]] + [_optional(x) for x in b[j:]]
-    return _fold(out)
+            slot = x[3] if x[3] == y[3] else -1
+        level: list = []
+        into.append([x[0], _quantifier(x[1], y[1], again), max(x[2], y[2]) if repeated else x[2] + y[2], slot, level, x[5] + y[5]])
+        for pair, moved in _align(x[4], y[4]):
+            if len(pair) == 2:
+                place: list = []
+                level.append(place)  # filled with the merged node below
+                todo.append((*pair, moved, place))
+            else:
+                level.append(_optional(pair[0]))
+    return _settled(top[0])
+
+
+def _settled(node: list) -> list:
+    """The places of merged nodes replaced by the nodes."""
+    todo = [node]
+    while todo:
+        level = todo.pop()[4]
+        for k, c in enumerate(level):
+            if len(c) == 1:
+                level[k] = c[0]
+                todo.append(c[0])
+    return node
+
+
+def _align(a: list, b: list) -> list[tuple[tuple, bool]]:
+    """Children of two wrappers in one order: pairs of equal label, with whether they stand out
+    of the longest common sequence (then the group recurs), and single ones, which are optional.
+
+    A level has each label once, so the longest common sequence is a longest increasing one.
+    """
+    at = {y[0]: j for j, y in enumerate(b)}
+    common = [(i, at[x[0]]) for i, x in enumerate(a) if x[0] in at]
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(common):
+        n = bisect_left(tails, j)
+        before.append(ends[n - 1] if n else -1)
+        tails[n:n + 1] = [j]
+        ends[n:n + 1] = [k]
+    kept: set[int] = set()
+    k = ends[-1] if ends else -1
+    while k >= 0:
+        kept.add(common[k][0])
+        k = before[k]
+    out: list[tuple[tuple, bool]] = []
+    known = {x[0] for x in a}
+    j = 0
+    for i, x in enumerate(a):
+        where = at.get(x[0])
+        if where is None:
+            out.append(((x,), False))
+            continue
+        if i in kept:
+            out += [((y,), False) for y in b[j:where] if y[0] not in known]
+            j = max(j, where + 1)
+        out.append(((x, b[where]), i not in kept))
+    return out + [((y,), False) for y in b[j:] if y[0] not in known]
 
 
 def align(a: list, b: list) -> list:
@@ -242,62 +311,166 @@ def align(a: list, b: list) -> list:
     return _merge(a, b)
 
 
+def pack(w: list) -> str:
+    """A wrapper as flat JSON: its nodes in order, each with its number of children."""
+    flat: list = []
+    todo = [w]
+    while todo:
+        x = todo.pop()
+        flat += [x[0], x[1], x[2], x[3], x[5], len(x[4])]
+        todo.extend(reversed(x[4]))
+    return json.dumps(flat, separators=(",", ":"))
+
+
+def unpack(text: str) -> list:
+    flat = json.loads(text)
+    top: list = []
+    open_: list[tuple[list, int]] = [(top, 1)]
+    for k in range(0, len(flat), 6):
+        label, quantifier, pages, slot, mass, n = flat[k : k + 6]
+        while open_[-1][1] == 0:
+            open_.pop()
+        level, left = open_[-1]
+        open_[-1] = (level, left - 1)
+        children: list = []
+        level.append([label, quantifier, pages, slot, children, mass])
+        open_.append((children, n))
+    return top[0]
+
+
+@lru_cache(20_000)
 def _named(label: str) -> Node:
     tag, *words = label.split(".")
     return Node(tag, label, frozenset(words))
 
 
-def main_region(w: list) -> tuple[list[str], list[int]]:
-    """Label path of the host's main region and the constants outside any article element.
-
-    An article element is the region, else a main element, else the element with a telling
-    class that has most text slots, else the body.
-    """
-    found: dict[str, list[tuple[int, list[str]]]] = {"article": [], "main": [], "class": []}
+def _key(parent: int, label: str) -> int:
+    """The name of a label path, from that of the path above."""
+    return (parent * 0x9E3779B97F4A7C15 + zlib.crc32(label.encode("utf-8", "surrogatepass")) + 1) & _MASK
 
-    def slots(x: list) -> int:
-        return (x[3] is not None) + sum(slots(c) for c in x[4] if c[0] == "#" or not furniture(_named(c[0]), True))
 
-    def walk(x: list, path: list[str]) -> None:
+def _changes(w: list) -> dict[int, bool]:
+    """Per node (by identity): whether a text below it differs between pages."""
+    order, found = [w], {}
+    for x in order:
+        order.extend(x[4])
+    for x in reversed(order):
+        changed = x[3] == -1
         for c in x[4]:
-            if c[0] == "#":
-                continue
-            node = _named(c[0])
-            if furniture(node, False):
-                continue
-            here = [*path, c[0]]
-            size = slots(c)
-            if size:
-                if node.tag == "article":
-                    found["article"].append((size, here))
-                elif node.tag == "main" or "main" in node.words:
-                    found["main"].append((size, here))
-                elif node.words & MAIN_WORDS and node.tag in ("div", "section", "td"):
-                    found["class"].append((size, here))
-            walk(c, here)
-
-    walk(w, [])
-    for kind in ("article", "main", "class"):
-        if found[kind]:
-            return max(found[kind], key=lambda x: (x[0], -len(x[1])))[1], []
-    constants: list[int] = []
-
-    def still(x: list) -> None:
-        for c in x[4]:
-            if c[0] == "#" and c[3] not in (None, -1) and c[2] >= MIN_CONSTANT_PAGES:
-                constants.append(c[3])
-            still(c)
+            changed = changed or found[id(c)]
+        found[id(x)] = changed
+    return found
+
 
-    still(w)
-    return [], constants
+#: Elements whose content is one text; a region is never inside one.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption legend tr".split())
 
 
-def _texts(node: Node, in_article: bool, out: list[str]) -> None:
-    for x in node.items:
+def _region(w: list, changes: dict[int, bool]) -> tuple[list[str], bool]:
+    """Label path of the host's main region, and whether it is an article or main element."""
+    # the mass of text that counts: what changes, or all of it where nothing does
+    weight: dict[int, int] = {}
+    order = [w]
+    for x in order:
+        order.extend(x[4])
+    for x in reversed(order):
+        total = x[5] if x[0] == "#" and (changes[id(x)] or not changes[id(w)]) else 0
+        for c in x[4]:
+            if c[0] == "#" or not furniture(_named(c[0]), True):
+                total += weight[id(c)]
+        weight[id(x)] = total
+
+    best: dict[str, tuple] = {}
+    todo: list[tuple[list, tuple]] = [(w, ())]
+    while todo:
+        x, path = todo.pop()
+        for c in reversed(x[4]):
+            if c[0] == "#" or furniture(_named(c[0]), False):
+                continue
+            here = (path, c[0])
+            tag = _named(c[0]).tag
+            if tag in ("article", "main"):
+                found = (weight[id(c)], here)
+                if found[0] and (tag not in best or found[0] >= best[tag][0]):
+                    best[tag] = found
+            todo.append((c, here))
+
+    def labels(path: tuple) -> list[str]:
+        out = []
+        while path:
+            path, label = path
+            out.append(label)
+        return out[::-1]
+
+    for tag in ("article", "main"):
+        if tag in best:
+            return labels(best[tag][1]), True
+    path: list[str] = []
+    x, own = w, weight[id(w)]
+    while own:
+        inner = [c for c in x[4] if c[0] != "#" and not furniture(_named(c[0]), False) and _named(c[0]).tag not in LEAVES]
+        sized = [(weight[id(c)], bool(_named(c[0]).words & MAIN_WORDS), -k, c) for k, c in enumerate(inner)]
+        most = max(sized, key=lambda y: y[:3], default=None)
+        if most is None or 2 * most[0] <= own:
+            break
+        x, own = most[3], most[0]
+        path.append(x[0])
+    return path, False
+
+
+def plan_of(w: list) -> tuple[list[str], list[int], list[int]]:
+    """What a wrapper says of its pages: the label path of the main region, the paths of constant
+    texts to drop and the paths of blocks to keep although their names are those of furniture."""
+    changes = _changes(w)
+    path, article = _region(w, changes)
+    drop: list[int] = []
+    keep: list[int] = []
+    level, key = [w], 0
+    for label in path:
+        level = [c for x in level for c in x[4] if c[0] == label]
+        key = _key(key, label)
+    pages = level[0][2] if level else 0
+    todo = [(x, key) for x in level]
+    while todo:
+        x, at = todo.pop()
+        for c in x[4]:
+            here = _key(at, c[0])
+            changed = changes[id(c)]
+            if c[0] != "#":
+                node = _named(c[0])
+                if furniture(node, True):
+                    if changed and named_only(node) and not node.words & CHANGING_WORDS:
+                        keep.append(here)
+                    else:
+                        continue
+                todo.append((c, here))
+            elif not article and not changed and c[2] >= AGREEING and 2 * c[2] > pages and changes[id(w)]:
+                drop.append(here)
+    return path, sorted(drop), sorted(keep)
+
+
+def named_only(node: Node) -> bool:
+    """Whether only a block's class, id or role makes it furniture, not its element."""
+    return node.tag not in CHROME_TAGS and node.tag != "header"
+
+
+def _texts(region: Node, key: int, in_article: bool, drop: frozenset[int], keep: frozenset[int], out: list[str]) -> None:
+    todo: list[tuple[Node | str, int, bool]] = [(region, key, in_article)]
+    first = True
+    while todo:
+        x, at, inside = todo.pop()
         if isinstance(x, str):
-            out.append(x)
-        elif not furniture(x, in_article):
-            _texts(x, in_article or x.tag in ("article", "main"), out)
+            if not drop or _key(at, "#") not in drop:
+                out.append(x)
+            continue
+        if not first:
+            at = _key(at, x.label)
+            if furniture(x, inside) and at not in keep:
+                continue
+            inside = inside or x.tag in ("article", "main")
+        first = False
+        for item in reversed(x.items):
+            todo.append((item, at, inside))
 
 
 def _regions(node: Node, path: list[str]) -> list[Node]:
@@ -308,21 +481,34 @@ def _regions(node: Node, path: list[str]) -> list[Node]:
     return level
 
 
-def extract(root: Node, path: list[str], constants: frozenset[int]) -> str:
+Plan = tuple[list[str], frozenset[int], frozenset[int]]
+
+
+def read_plan(text: str) -> Plan:
+    path, drop, keep = json.loads(text)
+    return path, frozenset(drop), frozenset(keep)
+
+
+def extract(root: Node, plan: Plan) -> str:
     """A page's main text along its host's wrapper.
 
     A page without the wrapper's region is cut along its own one-page wrapper.
     """
-    regions = _regions(root, path) if path else []
+    path, drop, keep = plan
+    regions = _regions(root, path)
     if path and not regions:
-        path, _ = main_region(wrapper(root))
-        regions = _regions(root, path) if path else []
+        path, _, _ = plan_of(wrapper(root))
+        drop = keep = frozenset()
+        regions = _regions(root, path)
+    key = 0
+    for label in path:
+        key = _key(key, label)
     blocks: list[str] = []
-    for r in regions or [root]:
-        _texts(r, bool(regions), blocks)
-    if not regions and constants:
-        kept = [b for b in blocks if zlib.crc32(b.encode("utf-8", "surrogatepass")) not in constants]
-        blocks = kept or blocks
+    for r in regions:
+        _texts(r, key, bool(path), drop, keep, blocks)
+    if drop and not blocks:  # a page of constant texts only
+        for r in regions:
+            _texts(r, key, bool(path), frozenset(), keep, blocks)
     return "\n\n".join(blocks)
 
 
@@ -336,7 +522,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
 
     def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w, separators=(",", ":")) for w in held.values()], pa.string())], names=["host", "wrapper"])
+        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pack(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
         held.clear()
         return made
 
@@ -361,22 +547,22 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for h, w in rows:
         if h == host:
-            held = align(held, json.loads(w))
+            held = align(held, unpack(w))
             continue
         if held is not None:
-            done.append((host, json.dumps(main_region(held), separators=(",", ":"))))
-        host, held = h, json.loads(w)
+            done.append((host, json.dumps(plan_of(held), separators=(",", ":"))))
+        host, held = h, unpack(w)
         if len(done) >= 1000:
             yield batch_of(done)
             done = []
     if held is not None:
-        done.append((host, json.dumps(main_region(held), separators=(",", ":"))))
+        done.append((host, json.dumps(plan_of(held), separators=(",", ":"))))
     if done:
         yield batch_of(done)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, plan): JSON of each host's main region and constants."""
+    """(host, plan): JSON of what each host's wrapper says (plan_of)."""
     partial = pages.select("url", "html").mapInArrow(_infer, "host string, wrapper string")
     return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_reduce, "host string, plan string")
 
@@ -384,8 +570,9 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of text).
 
-    Pages without a host share one wrapper.  Repeated rows are returned as often as they
-    come; extra columns are ignored.
+    Null or empty html gives the empty text; pages without a host share one wrapper.  Repeated
+    rows are returned as often as they come, an empty table gives no rows, a null page_id stays
+    null; extra columns are ignored.
     """
     ws = Workspace(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -394,7 +581,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     names = ["page_id", "url", "text", "n_chars"]
 
     def cut(batches: Iterator[pa.RecordBatch], plan_of) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[str], frozenset[int]]] = {}
+        known: dict[str, Plan] = {}
         for batch in batches:
             step = 256
             for k in range(0, batch.num_rows, step):
@@ -405,9 +592,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                     if plan not in known:
                         if len(known) > 5000:
                             known.clear()
-                        path, constants = json.loads(plan)
-                        known[plan] = (path, frozenset(constants))
-                    texts.append(extract(parse(page or ""), *known[plan]))
+                        known[plan] = read_plan(plan)
+                    texts.append(extract(parse(page or ""), known[plan]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
     schema = f"page_id {kind}, url string, text string, n_chars bigint"

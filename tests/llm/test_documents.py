@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.llm import components, decontaminate, exact_dedup, mixing, near_dedup, repeat_dedup, tokens, toxicity
 from tessella.llm.workspace import Workspace
 
@@ -303,17 +305,41 @@ def test_automaton(split):
             assert machine.count(w) == naive_pieces(w, pieces, inner if split else pieces)
 
 
+def marked_pieces(word, plain, final):
+    """Longest match where pieces of final end the word and those of plain do not."""
+    n, at = 0, 0
+    while at < len(word):
+        fits = [e for e in range(at + 1, len(word) + 1) if word[at:e] in (final if e == len(word) else plain)]
+        if not fits:
+            return -1
+        n, at = n + 1, fits[-1]
+    return n
+
+
+def test_marked_automaton():
+    r = random.Random(5)
+    make = lambda: {bytes(r.choice(b"abc") for _ in range(r.randint(1, 5))) for _ in range(25)}
+    for _ in range(20):
+        plain, final = make(), make()
+        machine = tokens.Automaton(plain, None, final)
+        for _ in range(200):
+            w = bytes(r.choice(b"abcd"[: r.choice((3, 3, 4))]) for _ in range(r.randint(1, 14)))
+            assert machine.count(w) == marked_pieces(w, plain, final)
+
+
 def test_token_counts(spark, odd, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
-    pieces = tokens.load_pieces()
-    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in tokens.token_counts(table(spark, odd), tokens.Automaton(pieces)).collect()}
+    plain, inner, final = tokens.load_pieces()
+    rows = table(spark, odd).withColumn("n_tokens", F.lit("x")).unionByName(spark.createDataFrame([(None, "two words", "y")], "doc_id long, text string, n_tokens string"), allowMissingColumns=True)
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in tokens.token_counts(rows, tokens.Automaton(plain, inner, final)).collect()}
     cache = {}
     for k, t in enumerate(odd):
         w = words(t)
         for x in w:
             if x not in cache:
-                cache[x] = naive_pieces(x.encode(), pieces, pieces)
+                cache[x] = marked_pieces(x.encode(), plain, final)
         assert got[k] == (len(w), sum(cache[x] for x in w), 0)
+    assert got[None] == (2, 2, 0) and tokens.token_counts(rows.limit(0), tokens.Automaton(plain, inner, final)).count() == 0
 
 
 def test_toxicity(spark):

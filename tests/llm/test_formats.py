@@ -145,3 +145,77 @@ def test_written_files_are_bounded(spark):
     assert files.count() > 3
     assert warc.read_archives(files, 700).count() == 60
     ws.close()
+
+
+def _rows(spark, pages):
+    return spark.createDataFrame(pages, "page_id long, url string, html string")
+
+
+def test_host_wrapper_decides(spark):
+    """The pages of a host tell its furniture: a page alone has another text."""
+    page = '<body><div class="left">{menu}</div><div class="x"><h1>T{n}</h1><div class="share-story">{note}</div><p>body {n} and a longer text{n}</p><div class="q">All rights reserved</div></div></body>'
+    pages = [(k, "http://h.org/", page.format(n=k, menu="<p>Home<p>News", note=f"story {k}")) for k in range(6)]
+    pages += [(50 + k, "http://still.org/", page.format(n=k, menu="<p>Home", note="Share this")) for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(_rows(spark, pages)).collect()}
+    alone = {}
+    for k, _, h in pages:
+        root = html_extract.parse(h)
+        alone[k] = html_extract.extract(root, html_extract.read_plan(json.dumps(html_extract.plan_of(html_extract.wrapper(root)))))
+    for k in range(6):
+        assert got[k] == f"T{k}\n\nstory {k}\n\nbody {k} and a longer text{k}"
+        assert alone[k] == f"T{k}\n\nbody {k} and a longer text{k}\n\nAll rights reserved"
+    assert got[50] == "T0\n\nbody 0 and a longer text0"  # a constant block with a telling name
+
+
+def test_wrapper_does_not_depend_on_partitions(spark):
+    r = random.Random(3)
+    parts = ["<nav>m</nav>", '<div class="a">A</div>', '<div class="b"><p>{n}</div>', "<section><h2>{n}</h2><p>t{n}</section>", "<ul><li>{n}<li>x</ul>", '<div class="share">{n}</div>', "plain{n}", "<p>always</p>"]
+    pages = [(k, f"http://h{k % 2}.org/", "<body>" + "".join(r.sample(parts, 5)).format(n=k) + "</body>") for k in range(60)]
+    df = _rows(spark, pages)
+    results = [{tuple(x) for x in html_extract.extract_pages(df.repartition(n)).collect()} for n in (1, 3, 17)]
+    assert results[0] == results[1] == results[2]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 20_000 + "<p>bottom"
+    wide = "<article>" + "".join(f'<div class="c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}"><p>{k}</div>' for k in range(3000))
+    pages = [(1, "http://d.org", deep), (2, "http://d.org", deep.replace("bottom", "ground")), (3, "http://w.org", wide), (None, "http://w.org", wide + "<p>end"), (4, "http://w.org", None)]
+    got = {x.page_id: x.text for x in html_extract.extract_pages(_rows(spark, pages).withColumn("text", F.lit("clash"))).collect()}
+    assert (got[1], got[2], got[4]) == ("bottom", "ground", "")
+    assert got[3].split("\n\n") == [str(k) for k in range(3000)] and got[None].endswith("2999\n\nend")
+
+
+def test_packed_wrappers():
+    w = html_extract.wrapper(html_extract.parse("<div><p>1<p>2<ul><li>3</ul></div><div class=a>4</div>"))
+    assert html_extract.unpack(html_extract.pack(w)) == w
+
+
+def test_archives_with_odd_rows(spark):
+    """Null ids, clashing columns, and a read in as many tasks as there are ranges."""
+    big = "y" * 1500
+    rows = [(None, None, big), (None, "u", big), (3, "u", big), (None, "v", "small")]
+    df = _rows(spark, rows).withColumn("digest", F.lit(1)).withColumn("record_type", F.lit("x"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(spark, df).collect())
+    assert got == [("3", 1500, "response", None), ("None", 5, "response", None), ("None", 1500, "revisit", 3), ("None", 1500, "revisit", 3)]
+    alone = warc.archive_pages(spark, df.where("page_id is null")).collect()
+    assert {(r.record_type, r.refers_to) for r in alone} == {("response", None)}
+    ws = Workspace(spark, "warc_ranges")
+    files = ws.write(warc.write_archives(warc.plan_records(_rows(spark, [(k, "u", "".join(map(str, range(k, k + 900)))) for k in range(60)])), ws.path("a")), "files")
+    read = ws.write(warc.read_archives(files, 1000), "read")
+    tasks = len({r[0] for r in read.select(F.input_file_name()).distinct().collect()})
+    assert read.count() == 60 and tasks > 15
+    ws.close()
+
+
+def test_roles_stay_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, 0, "human", "q", "z"), (1, 1, "bot", None, "z"), (1, None, None, "n", "z")], "conv_id long, turn int, role string, text string, turns string")
+    got = chat.canonical_turns(df, "conv_id").first()
+    assert [tuple(t) for t in got.turns] == [("", "n"), ("human", "q"), ("bot", "")]
+    assert chat.canonical_turns(df.limit(0), "conv_id").count() == 0
+
+
+def test_masked_texts(spark):
+    turns = [[("assistant", t) for t in NASTY] + [("user", "u")] + [("assistant", t) for t in reversed(NASTY)]]
+    df = spark.createDataFrame([(0, turns[0])], "id long, turns array<struct<role:string,text:string>>")
+    row = df.select(chat.masked_texts(chat.format_turns(F.col("turns")), chat.loss_spans(F.col("turns"))).alias("t")).first()
+    assert row.t == NASTY + NASTY[::-1]
