@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 

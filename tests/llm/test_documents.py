@@ -161,6 +161,54 @@ def test_exact_duplicates(spark, odd):
     assert exact_dedup.exact_duplicates(table(spark, [])).count() == 0
 
 
+def test_exact_duplicates_chain_collisions(spark, odd, tmp_path):
+    """With a hash of eight values most texts share one; chains tell them apart by their bytes."""
+    weak = lambda c: F.xxhash64(c).bitwiseAND(-(1 << 61))
+    texts = [f"text {k % 50}" for k in range(140)] + odd
+    df = table(spark, texts).repartition(3).withColumn("h", F.lit("x")).withColumn("norm", F.lit(1))
+    one = sorted(map(tuple, exact_dedup.exact_duplicates(df).collect()))
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(df, capacity=4, hash_of=weak).collect())) == one
+    ws = Workspace(spark, "chains")
+    keyed = df.select("doc_id", weak(exact_dedup.normalised(F.col("text"))).alias("h"), F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
+    index = exact_dedup.build_index(df.select("doc_id", "text"), keyed, ws, 4, 3, weak).collect()
+    chains = {}
+    for x in index:
+        chains.setdefault(x.h, []).append(x.chain)
+    assert len(chains) <= 8 and all(sorted(c) == list(range(len(c))) for c in chains.values()) and max(map(len, chains.values())) > 5
+    ws.close()
+
+
+def test_index_files_hold_key_ranges(spark):
+    """Each index file has whole buckets, each owner one range of keys, each bucket a bounded load."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 2500).cast("string")).alias("text"))
+    ws = Workspace(spark, "ranges")
+    keyed = df.select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("text_sha256"))
+    index = exact_dedup.build_index(df, keyed, ws, 20, 8).withColumn("file", F.input_file_name()).collect()
+    assert sum(x.group_size for x in index) == 3000 and len(index) == 2500
+    files, buckets, spans = {}, {}, {}
+    for x in index:
+        files.setdefault(x.owner, set()).add(x.file)
+        buckets.setdefault(x.bucket, []).append(x)
+        spans.setdefault(x.owner, []).append(x.h % (1 << 64))
+    assert len(spans) == 8 and all(len(f) == 1 for f in files.values())
+    assert max(map(len, buckets.values())) <= 20 and len(buckets) > 125
+    ranges = sorted((min(s), max(s)) for s in spans.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges[:-1], ranges[1:], strict=True))
+    ws.close()
+
+
+def test_deduplicated_rows(spark, monkeypatch):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a  b", "y"), (2, "ab", "z"), (None, "c", "n"), (None, "c", "m"), (4, None, "e"), (3, " ", "f"), (9, "alone", "g"), (5, "d", "p"), (None, "d", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    want = sorted([(1, "a  b", "y"), (3, " ", "f"), (9, "alone", "g"), (5, "d", "p")], key=str)
+    for limit in (exact_dedup.MAX_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_ROWS", limit)
+        got = sorted(map(tuple, exact_dedup.deduplicated(df).collect()), key=str)
+        assert [x for x in got if x[1] != "c"] == want and [x[:2] for x in got if x[1] == "c"] == [(None, "c")]
+        assert sorted(x.kept for x in exact_dedup.exact_duplicates(df).collect()).count(True) == 8
+    assert exact_dedup.deduplicated(df.limit(0)).columns == df.columns
+
+
 def test_directory_splits_overfull_buckets(spark):
     entries = spark.range(5000).selectExpr("xxhash64(id) as h")
     slots, depth = exact_dedup.directory(entries, 100)
