@@ -18,9 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) one document stays."""
-    verdict = exact_dedup.exact_duplicates(docs)
-    return exact_dedup.without_ids(docs, verdict.where("not kept"))
+    """Of equal texts (white space aside) one row stays, repeated rows and rows without an id included."""
+    return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
