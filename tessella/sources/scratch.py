@@ -18,6 +18,25 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir() + "/checkpoints"
 
 
+#: Spark's own switch: shuffle files of a statement go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """df as a table at path; the shuffle files that its computation left are removed at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.count = spark, f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}", 0
@@ -26,8 +45,7 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_table(df, path)
 
     def close(self) -> None:
         try:
