@@ -7,20 +7,24 @@ size, so the corpus is first cut into pieces that alone decide the question:
 1. Each 50-byte window has an anchor, its 20-byte substring of least hash (the leftmost of
    equals).  Consecutive windows with one anchor form a run of 50 to 80 bytes.  Equal windows
    have equal anchors, wherever they stand.
-2. Runs are keyed by anchor and content hash (96 bits and more).  Of a run that also occurs
-   in a document of smaller id, every byte goes.  What is left is the run's occurrence in its
-   least document; it is a *piece* if its anchor has other runs, as at the borders of a
-   repeated passage.  Copies met in one map task are settled there, so a passage that a third
-   of all documents share reaches its bucket as one entry a task.
-3. Pieces that share anchors form collections.  A collection's Burrows-Wheeler transform and
-   LCP array are built column by column (Bauer, Cox and Rosone; LCP after Cox et al.): round
-   j inserts the symbol that precedes the suffix of length j of every piece, and updates the
-   common prefixes of what stands next to it.  Suffixes joined by LCP values of 50 or more
-   are equal windows; all but those of the least document are removed.  A collection is
-   bounded, so the files of the method are arrays here that each round reads and writes once
-   from end to end.
+2. Runs with equal anchor and content hash are taken for copies of the one in the least
+   document.  Copies met in one map task are settled there, so a passage that a third of all
+   documents share reaches its bucket as one entry a flush.  Neighbouring copies join into
+   claims "these bytes of document d are those of document e", and every claim is compared
+   byte for byte before it counts: within a task at once, across tasks by sending the bytes.
+3. What is left of a run is its occurrence in its least document; it is a *piece* if its anchor
+   has other runs, as at the borders of a repeated passage.  Pieces that share anchors form
+   collections.  A collection's Burrows-Wheeler transform and LCP array are built column by
+   column (Bauer, Cox and Rosone; LCP after Cox et al.): round j inserts the symbol that
+   precedes the suffix of length j of every piece, and updates the common prefixes of what
+   stands next to it.  Suffixes joined by LCP values of 50 or more are equal windows; all but
+   those of the least document are removed.  A collection is bounded, so the files of the
+   method are arrays here that each round reads and writes once from end to end.
 4. An anchor with more than MAX_PIECES runs is not gathered: its windows are compared by
    128-bit content hash in an aggregation with partial minima, which has the same result.
+
+Texts meet what belongs to them in one pass over (document, kind) order, so no list is
+collected for a document, however often it is repeated elsewhere.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .workspace import Workspace
+from .workspace import Workspace, small
 
 LENGTH = 50
 K = 20
@@ -43,6 +47,8 @@ MIN_BUCKETS = 64
 FLUSH_RUNS = 500_000
 COLLECTION = 8_000
 MAX_PIECES = 100_000
+#: Most ids of repeated rows (16 bytes each) that are broadcast instead of joined by shuffle.
+MAX_BROADCAST_ROWS = 500_000
 _U = np.uint64
 _POS_BITS = 20  # a chunk is longer only if a single document is
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -94,7 +100,7 @@ def spans_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], end[last]
 
 
-_FIELDS = (("anchor", np.uint32), ("content", _U), ("doc", np.int64), ("pos", np.int32), ("size", np.uint8))
+_FIELDS = (("anchor", np.uint32), ("content", _U), ("doc", np.int64), ("pos", np.int32), ("size", np.uint8), ("span", np.int32), ("src", np.int64), ("spos", np.int32))
 
 
 def _blob_row(part: int, kind: int, **arrays) -> list:
@@ -103,14 +109,15 @@ def _blob_row(part: int, kind: int, **arrays) -> list:
 
 def _blob_batch(rows: list[list]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * len(_FIELDS)
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["part", "kind", *(f for f, _ in _FIELDS)])
 
 
-BLOBS = "part int, kind int, anchor binary, content binary, doc binary, pos binary, size binary"
-#: Kinds of rows: runs on their way to a bucket, and to a document's task covered runs,
-#: pieces, and pieces of anchors with too many runs.
-RUNS, COVERED, PIECE, HOT_PIECE = range(4)
+BLOBS = "part int, kind int, " + ", ".join(f"{f} binary" for f, _ in _FIELDS)
+#: Kinds of rows: runs on their way to a bucket, and to a document's task covered spans (doc,
+#: pos, span), pieces, pieces of anchors with too many runs, and claims still to be compared
+#: (doc, pos and span are those of src and spos).  TEXT is a document itself.
+RUNS, COVERED, PIECE, HOT_PIECE, CLAIM, TEXT = 0, 1, 2, 3, 4, -1
 
 
 def _deal(kind: int, parts: int, part: np.ndarray, rows: list, **arrays) -> None:
@@ -127,30 +134,71 @@ def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _settle(anchor, content, doc):
-    """Order by (anchor, content, doc); where a new (anchor, content) starts; its least document."""
+    """Order by (anchor, content, doc); where a new (anchor, content) starts; the index of each
+    one's first in that order."""
     order = np.lexsort((doc, content, anchor))
-    a, c, d = anchor[order], content[order], doc[order]
+    a, c = anchor[order], content[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-    least = d[new][np.cumsum(new) - 1]
-    return order, new, least
+    return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def joined_claims(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, src: np.ndarray, spos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Claims on one diagonal of two documents that overlap or touch, joined."""
+    if not len(doc):
+        return doc, pos, size.astype(np.int64), src, spos
+    pos, spos, size = pos.astype(np.int64), spos.astype(np.int64), size.astype(np.int64)
+    order = np.lexsort((pos, pos - spos, src, doc))
+    doc, pos, size, src, spos = doc[order], pos[order], size[order], src[order], spos[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (pos[1:] - spos[1:] != pos[:-1] - spos[:-1])))
+    # runs have at most 80 bytes, so ends rise with starts but for runs within others
+    shift = np.cumsum(new) << 40
+    far = np.maximum.accumulate(shift + pos + size)
+    new[1:] |= shift[1:] + pos[1:] > far[:-1]
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [len(doc) - 1]))
+    return doc[first], pos[first], far[last] - shift[last] - pos[first], src[first], spos[first]
+
+
+def equal_spans(a: bytes, b: bytes, at: int) -> list[tuple[int, int]]:
+    """Stretches of LENGTH or more equal bytes of two strings, moved by ``at``."""
+    if a == b:
+        return [(at, at + len(a))]
+    n = min(len(a), len(b))
+    same = np.frombuffer(a[:n], np.uint8) == np.frombuffer(b[:n], np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+    return [(at + int(s), at + int(e)) for s, e in edge.reshape(-1, 2) if e - s >= LENGTH]
 
 
 def _map_runs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        count = 0
+        texts: list[np.ndarray] = []
+        count = base = 0
 
         def flush() -> pa.RecordBatch:
-            anchor, content, doc, pos, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, content, doc, pos, size, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+            data = b"".join(t.tobytes() for t in texts)
             held.clear()
-            order, _, least = _settle(anchor, content, doc)
-            anchor, content, doc, pos, size = anchor[order], content[order], doc[order], pos[order], size[order]
-            here = doc > least  # a smaller document of this task has the run
+            texts.clear()
+            order, _, first = _settle(anchor, content, doc)
+            anchor, content, doc, pos, size, spot = (x[order] for x in (anchor, content, doc, pos, size, spot))
+            here = doc > doc[first]  # a smaller document of this flush has the run
+            least = first[here]
+            # claims by place in the flush: one number for document and position
+            d, q, n, e, s = joined_claims(doc[here], spot[here], size[here], doc[least], spot[least])
+            ids_, at = np.unique(doc, return_index=True)
+            start = dict(zip(ids_.tolist(), (spot - pos)[at].tolist(), strict=True))  # place of each document
+            out: list[tuple[int, int, int]] = []
+            for k, q_, n_, s_ in zip(d.tolist(), q.tolist(), n.tolist(), s.tolist(), strict=True):
+                out += [(k, x - start[k], y - x) for x, y in equal_spans(data[q_ : q_ + n_], data[s_ : s_ + n_], q_)]
             rows: list = []
-            _deal(COVERED, parts, _doc_part(doc[here], parts), rows, doc=doc[here], pos=pos[here], size=size[here])
+            if out:
+                covered = np.array(out, np.int64)
+                _deal(COVERED, parts, _doc_part(covered[:, 0], parts), rows, doc=covered[:, 0], pos=covered[:, 1], span=covered[:, 2])
             keep = ~here
-            part = ((anchor[keep] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
-            _deal(RUNS, parts, part, rows, anchor=anchor[keep] & _U(0xFFFFFFFF), content=content[keep], doc=doc[keep], pos=pos[keep], size=size[keep])
+            mixed = tc.mix64(anchor[keep])  # anchors are minima, so crowd at zero
+            part = ((mixed >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+            _deal(RUNS, parts, part, rows, anchor=mixed & _U(0xFFFFFFFF), content=content[keep], doc=doc[keep], pos=pos[keep], size=size[keep])
             return _blob_batch(rows)
 
         for batch in batches:
@@ -160,11 +208,13 @@ def _map_runs(parts: int):
                 if not len(s):
                     continue
                 d = np.searchsorted(ch.offsets, s, "right") - 1
-                held.append((anchor, content, ids[ch.first + d].astype(np.int64), (s - ch.offsets[d]).astype(np.int32), (e - s).astype(np.uint8)))
+                held.append((anchor, content, ids[ch.first + d].astype(np.int64), (s - ch.offsets[d]).astype(np.int32), (e - s).astype(np.uint8), s + base))
+                texts.append(ch.data)
+                base += len(ch.data)
                 count += len(s)
                 if count >= FLUSH_RUNS:
                     yield flush()
-                    count = 0
+                    count = base = 0
         if held:
             yield flush()
 
@@ -199,8 +249,9 @@ def _reduce_runs(parts: int, max_pieces: int):
                 continue
             order, new, least = _settle(x["anchor"], x["content"], x["doc"])
             anchor, doc, pos, size = (x[f][order] for f in ("anchor", "doc", "pos", "size"))
-            gone = doc > least
-            _deal(COVERED, parts, _doc_part(doc[gone], parts), rows, doc=doc[gone], pos=pos[gone], size=size[gone])
+            gone = doc > doc[least]
+            src = least[gone]
+            _deal(CLAIM, parts, _doc_part(doc[gone], parts), rows, doc=doc[gone], pos=pos[gone], size=size[gone], src=doc[src], spos=pos[src])
             # anchors whose runs lie in several documents
             first = np.concatenate(([True], anchor[1:] != anchor[:-1]))
             at = np.flatnonzero(first)
@@ -217,80 +268,101 @@ def _reduce_runs(parts: int, max_pieces: int):
     return run
 
 
-PER_DOC = "doc_id bigint, covered array<int>, pieces array<int>, anchors array<bigint>, hot array<int>"
+#: Rows for documents: kind, the document to read, for claims the document that makes it, anchors
+#: of pieces, places (pos, size; for COVERED start, end), and for claims the places there.
+FOUND = "kind int, doc_id bigint, to_doc bigint, anchors array<bigint>, places array<int>, goals array<int>"
 
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document: covered spans, and positions and sizes of its pieces."""
-    now, held = None, {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        got = {k: (v["doc"], v) for k, v in held.items()}
-        docs = np.unique(np.concatenate([d for d, _ in got.values()]))
-        cols: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        empty = (np.zeros(0, np.int64), np.zeros(len(docs), np.int64))
-        if COVERED in got:
-            d, v = got[COVERED]
-            owner = np.searchsorted(docs, d)
-            # spans of all documents at once, each moved to a range of its own
-            shift = owner.astype(np.int64) << 32
-            a, b = spans_of(shift + v["pos"], shift + v["pos"].astype(np.int64) + v["size"])
-            mask = (1 << 32) - 1
-            cols["covered"] = (np.stack((a & mask, b & mask), axis=1).ravel(), 2 * np.bincount(a >> 32, minlength=len(docs)))
-        for name, kind in (("pieces", PIECE), ("hot", HOT_PIECE)):
-            if kind in got:
-                d, v = got[kind]
-                order = np.argsort(d, kind="stable")
-                count = np.bincount(np.searchsorted(docs, d), minlength=len(docs))
-                cols[name] = (np.stack((v["pos"][order], v["size"][order].astype(np.int32)), axis=1).ravel(), 2 * count)
-                if kind == PIECE:
-                    full = (v["content"][order] << _U(32)) | v["anchor"][order].astype(_U)
-                    cols["anchors"] = (full.view(np.int64), count)
-        step = 2000
-        for i in range(0, len(docs), step):
-            part = [pa.array(docs[i : i + step])]
-            for name in ("covered", "pieces", "anchors", "hot"):
-                flat, count = cols.get(name, empty)
-                at = np.concatenate(([0], np.cumsum(count)))
-                part.append(tc.list_array(flat[at[i] : at[min(i + step, len(docs))]], count[i : i + step], pa.int64() if name == "anchors" else pa.int32()))
-            yield pa.RecordBatch.from_arrays(part, names=["doc_id", "covered", "pieces", "anchors", "hot"])
-
-    for part, kind, x in _grouped(batches):
-        if part != now:
-            if held:
-                yield from out()
-            now, held = part, {}
-        held[kind] = x
-    if held:
-        yield from out()
+    """A row per document and kind, for claims per pair of documents."""
+
+    def rows(kind: int, keys: list[np.ndarray], places: np.ndarray, goals: np.ndarray | None = None, anchors: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """keys: sorted arrays (document to read, document that asks)."""
+        new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate((first, [len(new)])))
+        step = 4000
+        for i in range(0, len(first), step):
+            a, b = first[i], first[i] + sizes[i : i + step].sum()
+            n = sizes[i : i + step]
+            one = [k[first[i : i + step]] for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(n), kind, np.int32)),
+                    pa.array(one[0]),
+                    pa.array(one[-1]),
+                    tc.list_array(anchors[a:b] if anchors is not None else np.zeros(0, np.int64), n if anchors is not None else n * 0, pa.int64()),
+                    tc.list_array(places[a:b].ravel(), 2 * n, pa.int32()),
+                    tc.list_array(goals[a:b] if goals is not None else np.zeros(0, np.int32), n if goals is not None else n * 0, pa.int32()),
+                ],
+                names=["kind", "doc_id", "to_doc", "anchors", "places", "goals"],
+            )
+
+    for _, kind, x in _grouped(batches):
+        if not len(x["doc"]):
+            continue
+        if kind == CLAIM:
+            doc, pos, size, src, spos = joined_claims(x["doc"], x["pos"], x["size"], x["src"], x["spos"])
+            yield from rows(kind, [src, doc], np.stack((spos, size), axis=1).astype(np.int32), goals=pos.astype(np.int32))
+            continue
+        order = np.lexsort((x["pos"], x["doc"]))
+        doc, pos = x["doc"][order], x["pos"][order]
+        if kind == COVERED:
+            yield from rows(kind, [doc], np.stack((pos, pos + x["span"][order]), axis=1))
+        else:
+            anchors = (x["content"][order] << _U(32)) | x["anchor"][order].astype(_U)
+            yield from rows(kind, [doc], np.stack((pos, x["size"][order].astype(np.int32)), axis=1), anchors=anchors.view(np.int64))
+
+
+CUT = "kind int, anchor bigint, doc_id bigint, pos int, piece binary"
 
 
-def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of asked pieces: (anchor, doc_id, pos, piece)."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (doc_id, kind), each text before what asks for its bytes: those bytes."""
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    out: list[list] = [[] for _ in types]
+    at, raw, held = None, b"", 0
+
+    def batch_of() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types, strict=True)], names=["kind", "anchor", "doc_id", "pos", "piece"])
+        for c in out:
+            c.clear()
+        return made
+
     for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc, text, pieces, anchors in zip(*(batch.column(c) for c in ("doc_id", "text", "pieces", "anchors")), strict=True):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            at = pieces.as_py()
-            for k, anchor in enumerate(anchors.as_py()):
-                pos, size = at[2 * k], at[2 * k + 1]
-                for column, v in zip(out, (anchor, doc.as_py(), pos, raw[pos : pos + size]), strict=True):
-                    column.append(v)
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "doc_id", "pos", "piece"])
-                out = ([], [], [], [])
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "doc_id", "pos", "piece"])
+        for kind, doc, text, to, anchors, places, goals in zip(*(batch.column(c) for c in ("kind", "doc_id", "text", "to_doc", "anchors", "places", "goals")), strict=True):
+            kind, doc = kind.as_py(), doc.as_py()
+            if kind == TEXT:
+                at, raw = doc, text.as_py().encode("utf-8", "surrogatepass")
+                continue
+            if doc != at:
+                raise ValueError(f"no text of document {doc}")
+            places = places.as_py()
+            starts, sizes = places[::2], places[1::2]
+            n = len(starts)
+            out[0] += [kind] * n
+            out[1] += [None] * n if kind == CLAIM else anchors.as_py()
+            out[2] += [to.as_py()] * n
+            out[3] += goals.as_py() if kind == CLAIM else starts
+            out[4] += [raw[p : p + s] for p, s in zip(starts, sizes, strict=True)]
+            held += sum(sizes)
+            if held > 2_000_000:
+                yield batch_of()
+                held = 0
+    if out[0]:
+        yield batch_of()
 
 
 def _cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of pieces of hot anchors: (window, doc_id, pos)."""
     for batch in batches:
-        for doc, text, hot in zip(*(batch.column(c) for c in ("doc_id", "text", "hot")), strict=True):
-            raw, at = text.as_py().encode("utf-8", "surrogatepass"), hot.as_py()
-            pos = [p + i for p, size in zip(at[::2], at[1::2], strict=True) for i in range(size - LENGTH + 1)]
-            names = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in pos]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([doc.as_py()] * len(pos), pa.int64()), pa.array(pos, pa.int32())], names=["window", "doc_id", "pos"])
+        names, docs, places = [], [], []
+        for doc, pos, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "piece")), strict=True):
+            for i in range(len(piece) - LENGTH + 1):
+                names.append(hashlib.blake2b(piece[i : i + LENGTH], digest_size=16).digest())
+                docs.append(doc)
+                places.append(pos + i)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], names=["window", "doc_id", "pos"])
 
 
 def collection_bwt(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -412,53 +484,115 @@ def _solve_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(d[first]), tc.list_array(spans, np.full(len(first), 2), pa.int32())], names=["doc_id", "covered"])
 
 
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (doc_id, kind), each text before its spans and claimed bytes."""
+    out: list[tuple] = []
+    at, raw, spans = None, b"", []
+
+    def settle() -> None:
+        flat = np.array(spans, np.int64).reshape(-1, 2)
+        a, b = spans_of(flat[:, 0], flat[:, 1])
+        digest, last = hashlib.sha256(), 0
+        for s, e in zip(a.tolist(), b.tolist(), strict=True):
+            digest.update(raw[last:s])
+            last = e
+        digest.update(raw[last:])
+        out.append((at, len(raw), int((b - a).sum()), len(a), digest.hexdigest()))
+        spans.clear()
+
+    def batch_of() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        made = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out.clear()
+        return made
+
+    started = False
     for batch in batches:
-        out: list[tuple] = []
-        for text, *lists in zip(*(batch.column(c) for c in ("text", "c1", "c2", "c3")), strict=True):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            got = [np.array(x.as_py(), np.int64).reshape(-1, 2) for x in lists if x.is_valid]
-            flat = np.concatenate(got) if got else np.zeros((0, 2), np.int64)
-            a, b = spans_of(flat[:, 0], flat[:, 1])
-            digest, at = hashlib.sha256(), 0
-            for s, e in zip(a.tolist(), b.tolist(), strict=True):
-                digest.update(raw[at:s])
-                at = e
-            digest.update(raw[at:])
-            out.append((len(raw), int((b - a).sum()), len(a), digest.hexdigest()))
-        if out:
-            cols = [pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
+        for kind, doc, text, covered, pos, piece in zip(*(batch.column(c) for c in ("kind", "doc_id", "text", "covered", "pos", "piece")), strict=True):
+            kind = kind.as_py()
+            if kind == TEXT:
+                if started:
+                    settle()
+                started, at, raw = True, doc.as_py(), text.as_py().encode("utf-8", "surrogatepass")
+                continue
+            if doc.as_py() != at:
+                raise ValueError(f"no text of document {doc}")
+            if kind == CLAIM:
+                start, claim = pos.as_py(), piece.as_py()
+                spans += equal_spans(raw[start : start + len(claim)], claim, start)
+            else:
+                flat = covered.as_py()
+                spans += zip(flat[::2], flat[1::2], strict=True)
+        if len(out) > 2000:
+            yield batch_of()
+    if started:
+        settle()
+    if out:
+        yield batch_of()
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that keep all their bytes."""
+    for batch in batches:
+        raw = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        zero = pa.array(np.zeros(len(raw), np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), zero, zero, pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null counts as the empty text.  Texts under 50 bytes lose nothing.  Rows repeated with one
-    doc_id are one document: they do not cover each other.  A row without an id keeps all its
-    bytes and covers nothing.  An empty table gives no rows; extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "repeats")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def _remove(rows: DataFrame, ws: Workspace, max_pieces: int) -> DataFrame:
+    """The result for rows (doc_id, text) without nulls, each id once."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(MIN_BUCKETS, -(-chars // BUCKET_CHARS))
-    runs = rows.where("doc_id is not null").mapInArrow(_map_runs(parts), BLOBS)
+    runs = rows.mapInArrow(_map_runs(parts), BLOBS)
     runs = runs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_reduce_runs(parts, max_pieces), BLOBS)
-    runs = runs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_per_document, PER_DOC)
+    runs = runs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_per_document, FOUND)
     found = ws.write(runs, "found")
 
-    asked = rows.join(found.where("size(pieces) > 0").select("doc_id", "pieces", "anchors"), "doc_id")
-    pieces = asked.mapInArrow(_cut_pieces, "anchor bigint, doc_id bigint, pos int, piece binary")
-    pieces = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    late = ws.write(pieces.mapInArrow(_solve_pieces, "doc_id bigint, covered array<int>"), "late")
-    late = late.groupBy("doc_id").agg(F.flatten(F.collect_list("covered")).alias("c2"))
+    texts = rows.select(F.lit(TEXT).alias("kind"), "doc_id", "text")
+    asked = texts.unionByName(found.where(F.col("kind") != COVERED), allowMissingColumns=True)
+    asked = asked.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind")
+    cut = ws.write(asked.mapInArrow(_cut, CUT), "cut")
+
+    pieces = cut.where(F.col("kind") == PIECE).select("anchor", "doc_id", "pos", "piece")
+    late = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_solve_pieces, "doc_id bigint, covered array<int>")
+    spans = ws.write(late, "late").unionByName(found.where(F.col("kind") == COVERED).select("doc_id", F.col("places").alias("covered")))
+    hot = cut.where(F.col("kind") == HOT_PIECE)
+    if hot.limit(1).count():
+        windows = ws.write(hot.mapInArrow(_cut_hot, "window binary, doc_id bigint, pos int"), "windows")
+        least = ws.write(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
+        over = windows.join(least, "window").where("doc_id > least")
+        spans = spans.unionByName(over.select("doc_id", F.array("pos", F.col("pos") + LENGTH).alias("covered")))
 
-    hot = rows.join(found.where("size(hot) > 0").select("doc_id", "hot"), "doc_id")
-    windows = ws.write(hot.mapInArrow(_cut_hot, "window binary, doc_id bigint, pos int"), "windows")
-    least = ws.write(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
-    over = windows.join(least, "window").where("doc_id > least")
-    over = over.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("pos", F.col("pos") + LENGTH))).alias("c3"))
+    whole = texts.unionByName(spans.withColumn("kind", F.lit(COVERED)), allowMissingColumns=True)
+    whole = whole.unionByName(cut.where(F.col("kind") == CLAIM).select("kind", "doc_id", "pos", "piece"), allowMissingColumns=True)
+    return whole.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_finish, RESULT)
 
-    out = rows.join(found.select("doc_id", F.col("covered").alias("c1")), "doc_id", "left").join(late, "doc_id", "left").join(over, "doc_id", "left")
-    return out.select("doc_id", "text", "c1", "c2", "c3").mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null counts as the empty text.  Texts under 50 bytes lose nothing.  Rows repeated with one
+    doc_id and text are one document.  Of different texts under one doc_id that of least hash
+    is the document; the others, and rows without an id, keep all their bytes and cover
+    nothing.  An empty table gives no rows; extra columns are ignored.
+    """
+    ws = Workspace(docs.sparkSession, "repeats")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    known = rows.where("doc_id is not null")
+    h = F.xxhash64("text").alias("h")
+    repeated = ws.write(known.select("doc_id", h).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1").select("doc_id", "first"), "repeated")
+    if repeated.limit(1).count():
+        ids = F.broadcast(repeated) if small(repeated, MAX_BROADCAST_ROWS) else repeated
+        again = known.select("doc_id", "text", h).join(ids, "doc_id")
+        one = again.where(F.col("h") == F.col("first")).groupBy("doc_id").agg(F.min("text").alias("text"))
+        single = ws.write(known.join(ids, "doc_id", "left_anti").unionByName(one), "single")
+        done = ws.write(_remove(single, ws, max_pieces), "done")
+        same = F.col("h") == F.col("first")
+        copies = again.where(same).select("doc_id").join(done, "doc_id")
+        out = done.join(ids, "doc_id", "left_anti").unionByName(copies).unionByName(again.where(~same).select("doc_id", "text").mapInArrow(_plain, RESULT))
+    else:
+        out = _remove(known, ws, max_pieces)
+    return out.unionByName(rows.where("doc_id is null").mapInArrow(_plain, RESULT))

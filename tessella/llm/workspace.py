@@ -7,19 +7,11 @@ Where the setting is absent (tests, a laptop) a temporary folder stands in.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + tempfile.gettempdir() + "/checkpoints"
+from tessella.sources.scratch import shared_root, write_table
 
 
 class Workspace:
@@ -34,10 +26,7 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        # shuffle files of finished steps go when the driver notices that nothing refers to them
-        self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return write_table(df, self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -246,6 +246,54 @@ def test_repeats(spark, odd, max_pieces):
     assert repeat_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_repeats_do_not_trust_hashes(spark, odd, monkeypatch):
+    """With an 8-bit content hash most claims are wrong; comparing bytes leaves only true ones."""
+    whole = repeat_dedup.anchored_runs
+
+    def weak(*args, **kw):
+        s, e, anchor, content = whole(*args, **kw)
+        return s, e, anchor & np.uint64(0xFFFFFF), np.full(len(content), 5, np.uint64)
+
+    monkeypatch.setattr(repeat_dedup, "anchored_runs", weak)
+    r = random.Random(5)
+    base = ["".join(r.choice("abcd ") for _ in range(90)) for _ in range(6)]
+    texts = [base[k % 6][: 60 + k] + "".join(r.choice("xyz") for _ in range(30)) for k in range(24)]
+    raw = [t.encode() for t in texts]
+    for x in repeat_dedup.remove_repeats(table(spark, texts).repartition(3)).collect():
+        k = x.doc_id
+        gone = bytearray(len(raw[k]))
+        for i in range(len(raw[k]) - 49):
+            if any(raw[k][i : i + 50] in raw[j] for j in range(k)):
+                gone[i : i + 50] = b"\1" * 50
+        assert x.n_removed <= sum(gone)
+
+
+def test_joined_claims():
+    a = [np.array(v) for v in ([2, 1, 1, 1, 1, 1], [0, 30, 0, 10, 200, 5], [50, 60, 50, 70, 50, 50], [1, 0, 0, 0, 0, 0], [9, 130, 100, 110, 300, 7])]
+    got = [tuple(x) for x in zip(*(v.tolist() for v in repeat_dedup.joined_claims(*a)), strict=True)]
+    assert sorted(got) == [(1, 0, 90, 0, 100), (1, 5, 50, 0, 7), (1, 200, 50, 0, 300), (2, 0, 50, 1, 9)]
+
+
+def test_repeats_of_repeated_rows(spark, monkeypatch):
+    long = "".join(chr(97 + k * 7 % 26) for k in range(97)) * 2
+    rows = [(5, long), (5, long), (3, long[10:150]), (7, "other text of some length " * 4), (7, long), (None, long), (8, None), (9, long[20:80])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("x")).withColumn("pos", F.lit(1))
+    for limit in (repeat_dedup.MAX_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(repeat_dedup, "MAX_BROADCAST_ROWS", limit)
+        got = repeat_dedup.remove_repeats(df.repartition(4)).collect()
+        assert len(got) == len(rows)
+        main = [x for x in got if x.doc_id in (3, 5, 8, 9)]
+        one = {3: long[10:150], 5: long, 8: "", 9: long[20:80]}
+        h = dict(df.where("doc_id = 7").select("text", F.xxhash64("text")).collect())
+        one[7] = min(h, key=h.get)
+        ids = sorted(one)
+        want = brute_repeats([one[k] for k in ids])
+        for x in main:
+            assert tuple(x[1:]) == want[ids.index(x.doc_id)]
+        assert sorted(x.n_removed for x in got if x.doc_id == 7) == sorted([0, want[ids.index(7)][1]])
+        assert [x.n_removed for x in got if x.doc_id is None] == [0]
+
+
 def test_collection_bwt():
     r = random.Random(3)
     for alphabet in ("ab", "abcdefgh"):
