@@ -13,9 +13,11 @@ No group is ever expanded into all its pairs:
 2. in each band bucket every member is compared with one hub, chosen by hash, so a bucket
    of n members costs n comparisons; confirmed links are joined into components;
 3. only buckets that still hold several components are looked at again.  Their members are
-   cut into blocks, block pairs are spread over tasks, and just the pairs of *different*
-   components with a high enough estimate leave the task, each from the first band the two
-   documents share.  For these, longer signatures of 2048 minima leave few pairs under the
+   cut into blocks, the m of them outside the bucket's largest component apart from the n
+   inside, and block pairs are spread over tasks; pairs of two blocks inside it are never
+   formed, so a bucket costs (n + m) * m / BLOCK rows, and nothing once all are linked.  Just
+   the pairs of *different* components with a high enough estimate leave the task, each from
+   the first band the two documents share.  For these, longer signatures of 2048 minima leave few pairs under the
    threshold.  They are confirmed the same way and the components are joined again.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -85,8 +87,9 @@ def _sketches(id_col: str, text_col: str, n: int):
                         pa.array(digest, type=pa.binary()),
                         tc.list_array(bands.view(np.int64).ravel(), np.full(k, BANDS), pa.int64()),
                         tc.list_array(packed.view(np.int64).ravel(), np.full(k, SIGNATURE // 32), pa.int64()),
+                        batch.column("h").slice(ch.first, k),
                     ],
-                    names=["doc_id", "n_shingles", "fp", "bands", "sig"],
+                    names=["doc_id", "n_shingles", "fp", "bands", "sig", "h"],
                 )
 
     return run
@@ -201,15 +204,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts, and texts of white space only, have no shingles and stand alone.
     A text of fewer than ``shingle`` words has its whole sequence as its one shingle.
     A row without an id is linked with nothing and stays.
-    Repeated rows of a doc_id are returned as often as they come, with the same verdict.
+    Repeated rows of a doc_id are returned as often as they come, with the same verdict; of
+    different texts under one doc_id the one of least hash is linked, the others with nothing.
     Ids must be integers; extra columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near_dedup")
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, sig array<bigint>"
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    schema = "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>, sig array<bigint>, h bigint"
     sketch = ws.write(docs.mapInArrow(_sketches("doc_id", "text", shingle), schema), "sketch")
-    some = sketch.where("n_shingles > 0 and doc_id is not null")
+    several = ws.write(sketch.groupBy("doc_id").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first < last and doc_id is not null").select("doc_id", "first"), "several")
+    odd = several.limit(1).count() > 0
+
+    def linked() -> Column:
+        """Whether a row takes part: it has an id, and the least hash of the id's texts."""
+        return F.col("doc_id").isNotNull() & (F.coalesce(F.col("first") == F.col("h"), F.lit(True)) if odd else F.lit(True))
+
+    def with_first(rows: DataFrame) -> DataFrame:
+        return rows.join(several, "doc_id", "left") if odd else rows
+
+    some = with_first(sketch).where((F.col("n_shingles") > 0) & linked())
     reps = ws.write(some.groupBy("fp").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select("fp", "r.*"), "reps")
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
@@ -218,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = ws.write(rows.join(hubs, "key"), "members")
 
     ids = members.select("doc_id").distinct()
-    sets = ws.write(shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n=shingle), "sets")
+    asked = with_first(docs.join(ids, "doc_id", "left_semi")).where(linked())
+    sets = ws.write(shingle_sets(asked.groupBy("doc_id").agg(F.min("text").alias("text")), n=shingle), "sets")
     sigs = reps.select("doc_id", "sig")
     star = members.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     star = star.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "ga"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "gb"}), "b")
@@ -229,10 +244,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = members.join(first.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "band", "n", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     labelled = ws.write(labelled, "labelled")
     open_keys = ws.write(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("size")).where("lo < hi and size > 2").select("key"), "open")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    todo = labelled.join(open_keys, "key", "left_semi").withColumn("blocks", blocks)
-    todo = todo.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # of each such bucket the largest component apart from the others
+    sizes = labelled.join(open_keys, "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("inside"))
+    todo = labelled.join(largest, "key").withColumn("main", F.col("label") == F.col("main"))
+    outer = F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int")
+    todo = todo.withColumns({"outer": outer, "blocks": outer + F.ceil(F.col("inside") / BLOCK).cast("int")})
+    h = F.xxhash64("doc_id")
+    todo = todo.withColumn("block", F.when(F.col("main"), F.col("outer") + F.pmod(h, F.col("blocks") - F.col("outer"))).otherwise(F.pmod(h, F.col("outer"))).cast("int"))
+    todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("outer")).otherwise(F.col("blocks")) - 1)))
     todo = todo.select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "label")
     fine = sets.join(todo.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id bigint, sig array<bigint>")
     fine = fine.join(reps.select("doc_id", "bands"), "doc_id")
@@ -244,6 +264,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     by_fp = ws.write(reps.select("fp", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("label", "doc_id").alias("component_id")), "by_fp")
     ws.drop("hubs", "members", "sets", "edges", "labels1", "labelled", "open", "more", "all_edges", "labels2", "reps")
-    out = sketch.select("doc_id", "n_shingles", "fp").join(by_fp, "fp", "left")
+    out = with_first(sketch).select("doc_id", "n_shingles", F.when(linked(), F.col("fp")).alias("fp")).join(by_fp, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -135,6 +135,35 @@ def test_rows_without_an_id(spark):
     assert exact == sorted([(None, 3, 2, False), (3, 3, 2, True), (2, 2, 1, True), (None, None, 1, True), (5, 5, 2, True), (None, 5, 2, False)], key=str)
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Of different texts under one id the one of least hash is linked; clashing columns do nothing."""
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join(w[:-1])), (5, " ".join(w[1:])), (5, "some other words that have nothing in common"), (7, "some other words that have nothing in common")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("x"), "first": F.lit(1), "label": F.lit(2)})
+    h = dict(df.where("doc_id = 5").select("text", F.xxhash64("text")).collect())
+    linked = min(h, key=h.get) == rows[3][1]
+    got = sorted((x.doc_id, x.component_id) for x in near_dedup.near_duplicates(df.repartition(3)).collect())
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (5, 1 if linked else 5), (5, 5), (7, 7 if linked else 5)])
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_crowded_buckets(spark, monkeypatch, block):
+    """Clusters that share most bands, so that buckets hold several components of several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(21)
+    common = [f"c{k}" for k in range(70)]
+    texts = []
+    for c in range(6):
+        own = common + [f"o{c}x{k}" for k in range(28 if c % 2 else 45)]
+        for _ in range(25):
+            w = list(own)
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_near(texts)
+
+
 def test_components_both_ways(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(400, 460)]
