@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import canon
+from tessella.operators.numbering import row_numbers
 from tessella.sources.scratch import Scratch
 
+#: Links up to this number (about 100 bytes each) are joined by one task, more by stars.
+LOCAL_LINKS = 500_000
+#: Members that one row may hold; larger components are digested in parts of this size.
+MEMBERS = 20_000
+
 
 def event_keys(events: DataFrame, images: DataFrame, annotators: bool = False) -> DataFrame:
     """(event_id, key) of everything that ties events together; excluded events count too."""
@@ -24,30 +34,90 @@ def event_keys(events: DataFrame, images: DataFrame, annotators: bool = False) -
     return keys.distinct()
 
 
-def least_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by least number over all links of a task."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    table = pa.Table.from_batches(got)
+    names, at = np.unique(np.array(table["u"].to_pylist() + table["v"].to_pylist(), object).astype(str), return_inverse=True)
+    u, v = at[: table.num_rows], at[table.num_rows :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[u], label[v])
+        following = label.copy()
+        for ends in (u, v):
+            np.minimum.at(following, label[ends], low)
+            np.minimum.at(following, ends, low)
+        while (ahead := following[following]).tolist() != following.tolist():
+            following = ahead
+        if (following == label).all():
+            break
+        label = following
+    for k in range(0, len(names), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000].tolist()), pa.array(names[label[k : k + 50_000]].tolist())], names=["event_id", "label"])
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Hangs each node's larger (or smaller) neighbours on the least node around it."""
+    if large:
+        around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        moved = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return moved.where("u <> v").distinct()
+
+
+def least_labels(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(event_id, label): the least event reachable over shared keys.
 
-    Each round takes the least label over every key and then every event, and follows labels
-    once; sums are partial before each shuffle, so a key that a third of all events share
-    costs one row a task.
+    Each key becomes links to its least event, summed before the shuffle, so a key that a third
+    of all events share costs one row an event.  Links are then joined by alternating large and
+    small stars (Kiveris et al., 2014), whose rounds grow with the logarithm of the size.
     """
     scratch = Scratch(edges.sparkSession, "components")
     edges = scratch.write(edges)
-    labels = scratch.write(edges.groupBy("key").agg(F.min("event_id").alias("m")).join(edges, "key").groupBy("event_id").agg(F.min("m").alias("label")))
-    for _ in range(max_rounds):
-        by_key = edges.join(labels, "event_id").groupBy("key").agg(F.min("label").alias("m"))
-        step = edges.join(by_key, "key").groupBy("event_id").agg(F.min("m").alias("step"))
-        ahead = labels.select(F.col("event_id").alias("step"), F.col("label").alias("jump"))
-        following = scratch.write(step.join(ahead, "step").select("event_id", F.least("step", "jump").alias("label")))
-        changed = following.join(labels.withColumnRenamed("label", "old"), "event_id").where("label <> old").limit(1).count()
-        labels = following
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    least = edges.groupBy("key").agg(F.min("event_id").alias("v"))
+    links = scratch.write(edges.join(least, "key").where("event_id <> v").select(F.col("event_id").alias("u"), "v").distinct())
+    if links.limit(local_links + 1).count() <= local_links:
+        found = links.coalesce(1).mapInArrow(_joined, "event_id string, label string")
+    else:
+        seen = None
+        while True:
+            links = scratch.write(_star(_star(links, True), False))
+            state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == seen:
+                break
+            seen = state
+        found = links.select(F.col("u").alias("event_id"), F.col("v").alias("label"))
+    events = edges.select("event_id").distinct()
+    return scratch.write(events.join(found, "event_id", "left").select("event_id", F.coalesce("label", "event_id").alias("label")))
+
+
+def component_digests(labels: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """(label, component_id): the digest of the component's sorted event ids.
+
+    Of more than ``members`` ids it is the digest of the digests of their parts in order, so that
+    no row holds a whole component.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > members).select("label")
+    ids = F.array_sort(F.collect_list("event_id"))
+    if not large.limit(1).count():
+        return labels.groupBy("label").agg(canon.digest_list(ids).alias("component_id"))
+    large = Scratch(labels.sparkSession, "large").write(large)
+    some = labels.join(large, "label", "left_anti").groupBy("label").agg(canon.digest_list(ids).alias("component_id"))
+    placed = row_numbers(labels.join(large, "label", "left_semi"), ["label", "event_id"], "k")
+    placed = placed.join(placed.groupBy("label").agg(F.min("k").alias("first")), "label").withColumn("part", F.floor((F.col("k") - F.col("first")) / members))
+    parts = placed.groupBy("label", "part").agg(canon.digest_list(ids).alias("d"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
+    return some.unionByName(parts.groupBy("label").agg(canon.digest_list(whole).alias("component_id")))
 
 
 def components(events: DataFrame, images: DataFrame, annotators: bool = False) -> DataFrame:
-    """(event_id, component_id): the digest of the component's sorted event ids."""
+    """(event_id, component_id) by component_digests."""
     labels = least_labels(event_keys(events, images, annotators))
-    ids = labels.groupBy("label").agg(canon.digest_list(F.array_sort(F.collect_list("event_id"))).alias("component_id"))
-    return labels.join(ids, "label").select("event_id", "component_id")
+    return labels.join(component_digests(labels), "label").select("event_id", "component_id")

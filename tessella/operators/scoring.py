@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources.io import digest, read_json, write_json
+from tessella.operators.blocks import BLOCK, ScoreBlocks, exploded, lists, matrix
+from tessella.operators.numbering import row_numbers
+from tessella.sources.io import digest, exists, read_json, write_json
 
-BLOCK = 512
+#: Bytes of the bank that one broadcast holds; larger banks are scored slice by slice.
+BANK_BYTES = 256 << 20
+#: Bytes of the similarities that a task makes at once.
+STEP_BYTES = 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,6 +28,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(column: str) -> Column:
+    """A vector column brought to length one."""
+    size = norm(F.col(column))
+    return F.transform(F.col(column).cast("array<double>"), lambda x: x / size)
+
+
 def bank_audit(concepts: DataFrame) -> DataFrame:
     """Rows, dimensions and norm range of a bank; blank terms, bad or zero rows are errors."""
     n = norm(F.col("embedding"))
@@ -32,57 +42,130 @@ def bank_audit(concepts: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("concepts"), F.min(F.size("embedding")).alias("min_dim"), F.max(F.size("embedding")).alias("max_dim"), F.round(F.min("n"), 6).alias("min_norm"), F.round(F.max("n"), 6).alias("max_norm"), F.round(F.avg("n"), 6).alias("mean_norm"))
 
 
-def normalized(df: DataFrame, column: str = "embedding") -> DataFrame:
-    n = norm(F.col(column))
-    return df.withColumn(column, F.transform(F.col(column).cast("array<double>"), lambda x: x / n))
-
+def unit_rows(x: np.ndarray, what: str) -> np.ndarray:
+    """Rows of length one; a zero or non-finite row is an error."""
+    size = np.sqrt((x * x).sum(axis=1))
+    if not np.isfinite(size).all() or (size == 0).any():
+        raise ValueError(f"{what} has a row that is zero or not finite")
+    return x / size[:, None]
 
-def patch_scores(patches: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(image_id, patch_id, concept_id, sim) of valid patches; the bank is the stated query
-    set and is joined whole to each patch."""
-    live = patches.where("valid").select("image_id", "patch_id", F.col("embedding").alias("p"))
-    bank = concepts.agg(F.array_sort(F.collect_list(F.struct("concept_id", F.col("embedding").alias("e")))).alias("bank"))  # one row
-    each = live.join(F.broadcast(bank)).select("image_id", "patch_id", "p", F.explode("bank").alias("b"))
-    return each.select("image_id", "patch_id", F.col("b.concept_id").alias("concept_id"), dot(F.col("p"), F.col("b.e")).alias("sim"))
-
-
-def max_patch_scores(patches: DataFrame, concepts: DataFrame) -> DataFrame:
-    """The largest cosine over an image's valid patches; null if none is valid."""
-    best = patch_scores(patches, concepts).groupBy("image_id", "concept_id").agg(F.max("sim").alias("score"))
-    void = patches.groupBy("image_id").agg(F.bool_or("valid").alias("any")).where("not any").select("image_id")
-    lost = void.crossJoin(F.broadcast(concepts.select("concept_id"))).select("image_id", "concept_id", F.lit(None).cast("double").alias("score"))
-    return best.unionByName(lost)
 
+def bank_slices(concepts: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(first concept, unit rows) of the bank in slices of at most BANK_BYTES.
 
-def blocked_scores(patches: DataFrame, bank: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(image_id, block_id, scores array<float>) by one matrix product a batch.
-
-    The layout for banks of tens of thousands of concepts; the bank (concepts x dimensions,
-    float32) must fit a task and is broadcast after a size check.
+    Concepts are numbered 0, 1, ... by row; the bank is the stated query set, its size is that
+    of the vocabulary.
+    """
+    facts = concepts.agg(F.count("*").alias("n"), F.min("concept_id").alias("lo"), F.max("concept_id").alias("hi"), F.max(F.size("embedding")).alias("d")).first()
+    if not facts.n:
+        return
+    if facts.lo != 0 or facts.hi != facts.n - 1:
+        raise ValueError("concept ids must be 0 to the number of concepts less one")
+    step = max(BLOCK, BANK_BYTES // (8 * max(1, facts.d)) // BLOCK * BLOCK)
+    for at in range(0, facts.n, step):
+        rows = concepts.where(F.col("concept_id").between(at, min(at + step, facts.n) - 1)).select("concept_id", "embedding").orderBy("concept_id").collect()
+        yield at, unit_rows(np.array([r.embedding for r in rows], np.float64), "the concept bank")
+
+
+def _similarities(batch: pa.RecordBatch, bank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a batch that are valid, and their cosines with the bank."""
+    live = np.flatnonzero(batch.column("valid").fill_null(False).to_numpy(zero_copy_only=False))
+    if not len(live):
+        return live, np.zeros((0, len(bank)))
+    x = unit_rows(matrix(batch.column("embedding").take(pa.array(live))), "a valid patch")
+    return live, x @ bank.T
+
+
+def _best(patches: DataFrame, concepts: DataFrame, with_patch: bool) -> ScoreBlocks:
+    """Per image and block the largest cosines over valid patches, null where none is valid, and
+    with_patch the (first) patch of each.
+
+    Every batch is reduced to its images' maxima before the shuffle.
     """
-    if bank.nbytes > 512 << 20:
-        raise ValueError("score a bank of this size in several calls, one slice of concepts each")
-    shared = patches.sparkSession.sparkContext.broadcast(np.ascontiguousarray(bank, np.float32))
+    kind = patches.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {kind}, block_id int, scores array<double>, places array<double>"
+    out, ids = None, []
+
+    def reduce(image: list, scores: np.ndarray, places: np.ndarray):
+        """Maxima of rows of equal image, which stand together."""
+        first = [k for k in range(len(image)) if k == 0 or image[k] != image[k - 1]]
+        best = np.fmax.reduceat(scores, first, axis=0)
+        owner = np.repeat(np.arange(len(first)), np.diff([*first, len(image)]))
+        hit = np.where(scores == best[owner], places, np.inf)
+        return [image[k] for k in first], best, np.minimum.reduceat(hit, first, axis=0)
+
+    def emit(image: list, block: int, best: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        n = len(image)
+        width = np.arange(n + 1, dtype=np.int32) * best.shape[1]
+        cells = pa.ListArray.from_arrays(pa.array(width), pa.array(best.ravel(), mask=np.isnan(best).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(image), pa.array(np.full(n, block, np.int32)), cells, lists(list(places)) if with_patch else pa.array([[]] * n, pa.list_(pa.float64()))], names=["image_id", "block_id", "scores", "places"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (block, image)."""
+        held: list[pa.RecordBatch] = []
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            blocks = table["block_id"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = table.slice(a, b - a)
+                scores = matrix(part["scores"].combine_chunks())
+                places = matrix(part["places"].combine_chunks()) if with_patch else np.zeros((len(scores), 1))
+                got, best, where = reduce(part["image_id"].to_pylist(), scores, places)
+                yield emit(got, int(blocks[a]), best, where)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float32)
-            got = x @ shared.value.T
-            parts = [got[:, i : i + block] for i in range(0, got.shape[1], block)]
-            ids = pa.concat_arrays([batch.column("image_id")] * len(parts))
-            which = pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), batch.num_rows))
-            flat = np.concatenate([p.ravel() for p in parts])
-            width = np.concatenate([np.full(batch.num_rows, p.shape[1]) for p in parts])
-            at = np.concatenate(([0], np.cumsum(width))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, which, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["image_id", "block_id", "s"])
-
-    live = patches.where("valid").select("image_id", "embedding")
-    each = live.mapInArrow(run, f"image_id {patches.schema['image_id'].dataType.simpleString()}, block_id int, s array<float>")
-    width = min(block, len(bank))
-    best = [F.max(F.get("s", F.lit(k))) for k in range(width)]
-    return each.groupBy("image_id", "block_id").agg(F.array(*best).alias("scores")).withColumn("scores", F.filter("scores", lambda x: x.isNotNull()))
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = list(zip(table["block_id"].to_pylist(), table["image_id"].to_pylist(), strict=True))
+            cut = next(k for k in range(len(key) - 1, -1, -1) if k == 0 or key[k - 1] != key[-1])  # the last image may go on
+            if cut:
+                yield from settle(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    for at, bank in bank_slices(concepts):
+        shared = patches.sparkSession.sparkContext.broadcast(bank)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            step = max(16, STEP_BYTES // (8 * len(shared.value)))
+            for whole in batches:
+                for i in range(0, whole.num_rows, step):
+                    batch = whole.slice(i, step)
+                    names = batch.column("image_id").to_pylist()
+                    order = sorted(range(len(names)), key=names.__getitem__)
+                    batch, names = batch.take(pa.array(order)), [names[k] for k in order]
+                    live, sims = _similarities(batch, shared.value)
+                    scores = np.full((len(names), sims.shape[1]), np.nan)
+                    scores[live] = sims
+                    patch = batch.column("patch_id").to_numpy().astype(np.float64)[:, None]
+                    for k in range(0, sims.shape[1], BLOCK):
+                        got, best, where = reduce(names, scores[:, k : k + BLOCK], patch)
+                        yield emit(got, (at + k) // BLOCK, best, where)
+
+        part = patches.select("image_id", "patch_id", "valid", "embedding").mapInArrow(run, schema)
+        part = part.repartition("block_id", "image_id").sortWithinPartitions("block_id", "image_id").mapInArrow(merge, schema)
+        out = part if out is None else out.unionByName(part)
+        ids += [tuple(range(at + k, at + min(k + BLOCK, len(bank)))) for k in range(0, len(bank), BLOCK)]
+    if out is None:
+        out = patches.sparkSession.createDataFrame([], schema)
+    return ScoreBlocks(out, tuple(ids))
+
+
+def score_blocks(patches: DataFrame, concepts: DataFrame) -> ScoreBlocks:
+    """The largest cosine of each image's valid patches with each concept, in blocks; null if no
+    patch is valid.  Patches and bank rows are brought to length one; a zero or non-finite valid
+    patch or bank row is an error."""
+    got = _best(patches, concepts, False)
+    return ScoreBlocks(got.rows.drop("places"), got.ids)
+
+
+def max_patch_scores(patches: DataFrame, concepts: DataFrame) -> DataFrame:
+    """score_blocks in long form: (image_id, concept_id, score)."""
+    return score_blocks(patches, concepts).long()
 
 
 def encode(images: DataFrame, encoder: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -97,15 +180,14 @@ def row_index(images: DataFrame) -> DataFrame:
     identity = F.coalesce("pixel_hash", "content_hash", "image_id")
     rows = images.select("image_id", identity.alias("identity"))
     first = rows.groupBy("identity").agg(F.min("image_id").alias("first"))
-    numbered = first.withColumn("score_row", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint"))
+    numbered = row_numbers(first, ["first", "identity"], "score_row")
     return rows.join(numbered.select("identity", "score_row"), "identity").select("image_id", "identity", "score_row")
 
 
 def worker_of(index: DataFrame, workers: int) -> DataFrame:
     """Contents dealt round robin in order of identity; aliases stay together."""
-    k = F.dense_rank().over(Window.orderBy("identity")) - 1
-    own = index.select("identity").distinct().withColumn("worker", (k % workers).cast("int"))
-    return index.join(own, "identity").select("image_id", "worker")
+    own = row_numbers(index.select("identity").distinct(), ["identity"], "k")
+    return index.join(own, "identity").select("image_id", (F.col("k") % workers).cast("int").alias("worker"))
 
 
 def score_reuse(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -140,7 +222,7 @@ class ScoreStore:
     def open(self, settings: dict, resume: bool = False) -> ScoreStore:
         path = f"{self.root}/fingerprint.json"
         mark = digest(settings)
-        if os.path.exists(path):
+        if exists(self.spark, path):
             if read_json(path)["fingerprint"] != mark:
                 raise ValueError("the store was made from other settings")
             if not resume:
@@ -150,7 +232,7 @@ class ScoreStore:
         return self
 
     def missing(self, index: DataFrame) -> DataFrame:
-        return index.join(self.rows(), "score_row", "left_anti") if os.path.exists(f"{self.root}/scores") else index
+        return index.join(self.rows(), "score_row", "left_anti") if exists(self.spark, f"{self.root}/scores") else index
 
     def append(self, rows: DataFrame) -> None:
         """rows: score_row, scores array<float>, error."""
@@ -168,25 +250,41 @@ class ScoreStore:
 
 
 def patch_argmax(patches: DataFrame, concepts: DataFrame) -> DataFrame:
-    """The patch of highest similarity (the first of equals) per image and concept."""
-    s = patch_scores(patches, concepts)
-    return s.groupBy("image_id", "concept_id").agg(F.max_by("patch_id", F.struct("sim", (-F.col("patch_id")).alias("o"))).alias("patch_id"), F.max("sim").alias("sim"))
+    """The patch of highest cosine (the first of equals) per image and concept, and the cosine,
+    which is the image's score; images without a valid patch have no row."""
+    got = _best(patches, concepts, True)
+    each = exploded(got.rows.withColumnsRenamed({"scores": "sim", "places": "patch_id"}), got.ids, ["patch_id", "sim"])
+    return each.where("sim is not null").select("image_id", "concept_id", F.col("patch_id").cast("int").alias("patch_id"), "sim")
 
 
 def nearest_rows(queries: DataFrame, bank: DataFrame) -> DataFrame:
-    """(query_id, concept_id, sim) of the nearest row of the bank for each query."""
-    q = queries.select(F.col("concept_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = bank.agg(F.collect_list(F.struct("concept_id", F.col("embedding").alias("e"))).alias("bank"))  # one row
-    each = q.join(F.broadcast(rows)).select("query_id", "q", F.explode("bank").alias("b")).select("query_id", F.col("b.concept_id").alias("concept_id"), dot(F.col("q"), F.col("b.e")).alias("sim"))
-    return each.groupBy("query_id").agg(F.max_by("concept_id", F.struct("sim", (-F.col("concept_id")).alias("o"))).alias("concept_id"), F.max("sim").alias("sim"))
+    """(query_id, concept_id, sim): the row of the bank with the highest cosine to each query,
+    the first of equals."""
+    out = None
+    for at, rows in bank_slices(bank):
+        shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    sims = unit_rows(matrix(batch.column("embedding")), "a query") @ shared.value.T
+                    best = sims.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array((best + at).astype(np.int32)), pa.array(sims[np.arange(len(best)), best])], names=["query_id", "concept_id", "sim"])
+
+        part = queries.select(F.col("concept_id").cast("int").alias("query_id"), "embedding").mapInArrow(run, "query_id int, concept_id int, sim double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "query_id int, concept_id int, sim double")
+    return out.groupBy("query_id").agg(F.max_by("concept_id", F.struct("sim", (-F.col("concept_id")).alias("o"))).alias("concept_id"), F.max("sim").alias("sim"))
 
 
 def bank_diagnosis(queries: DataFrame, bank: DataFrame) -> DataFrame:
-    """Row-aligned cosine (mean and least), largest cell difference, share of rows whose
-    nearest row of the bank is their own."""
-    same = queries.select("concept_id", F.col("embedding").alias("q")).join(bank.select("concept_id", F.col("embedding").alias("e")), "concept_id")
-    cells = F.array_max(F.zip_with(F.col("q").cast("array<double>"), F.col("e").cast("array<double>"), lambda x, y: F.abs(x - y)))
-    one = same.agg(F.round(F.avg(dot(F.col("q"), F.col("e")) / (norm(F.col("q")) * norm(F.col("e")))), 6).alias("mean_cosine"), F.round(F.min(dot(F.col("q"), F.col("e")) / (norm(F.col("q")) * norm(F.col("e")))), 6).alias("min_cosine"), F.round(F.max(cells), 6).alias("max_abs_error"))
+    """Row-aligned cosine (mean and least), largest cell difference of the unit rows, share of
+    rows whose nearest row of the bank is their own."""
+    same = queries.select("concept_id", F.col("embedding").alias("q")).join(bank.select("concept_id", F.col("embedding").alias("e")), "concept_id").select(unit("q").alias("q"), unit("e").alias("e"))
+    cos = dot(F.col("q"), F.col("e"))
+    cells = F.array_max(F.zip_with("q", "e", lambda x, y: F.abs(x - y)))
+    one = same.agg(F.round(F.avg(cos), 6).alias("mean_cosine"), F.round(F.min(cos), 6).alias("min_cosine"), F.round(F.max(cells), 6).alias("max_abs_error"))
     near = nearest_rows(queries, bank).agg(F.round(F.avg((F.col("query_id") == F.col("concept_id")).cast("double")), 6).alias("same_row_nearest"))
     return one.join(F.broadcast(near))  # one row each
 

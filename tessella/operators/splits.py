@@ -5,15 +5,20 @@ from __future__ import annotations
 import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import components
+from tessella.operators.numbering import row_numbers
+from tessella.sources.scratch import Scratch
 
 SPLITS = ("discovery", "validation", "test")
 #: The official names of splits.
 ALIASES = {"train": "discovery", "validation": "validation", "test": "test"}
+#: The shares of the splits, in their order.
 SHARES = (0.70, 0.15, 0.15)
+#: Components that the greedy sample reads at once.
+READ = 2000
 
 
 def with_components(events: DataFrame, images: DataFrame, annotators: bool = False) -> DataFrame:
@@ -53,8 +58,7 @@ def shuffled_ids(ids: list[str], seed: int) -> list[str]:
 def grouped_split(events: DataFrame, seed: int = 42, rng: str = "sha") -> DataFrame:
     """Components with an eligible event are dealt 70/15/15, the others are quarantined.
 
-    rng 'sha' orders components by a seeded hash and stays distributed but for the ranking of
-    component ids; 'pcg64' repeats NumPy's generator on the driver, for up to 1,000,000 ids.
+    rng 'sha' orders components by a seeded hash and stays distributed; 'pcg64' repeats NumPy's generator on the driver, for up to 1,000,000 ids.
     """
     able = events.where("exclusion_reason is null").select("dependency_cluster_id").distinct()
     n = able.count()
@@ -65,14 +69,20 @@ def grouped_split(events: DataFrame, seed: int = 42, rng: str = "sha") -> DataFr
         ids = shuffled_ids([r[0] for r in able.collect()], seed)
         ranked = events.sparkSession.createDataFrame([(c, k + 1) for k, c in enumerate(ids)], "dependency_cluster_id string, k long")
     else:
-        ranked = able.withColumn("k", F.row_number().over(Window.orderBy(seeded(seed, F.col("dependency_cluster_id")), "dependency_cluster_id")))
+        ranked = row_numbers(able, [seeded(seed, F.col("dependency_cluster_id")), "dependency_cluster_id"], "k").withColumn("k", F.col("k") + 1)
     split = F.when(F.col("k") <= a, "discovery").when(F.col("k") <= a + b, "validation").otherwise("test")
     return events.join(ranked.select("dependency_cluster_id", split.alias("s")), "dependency_cluster_id", "left").withColumn("analysis_split", F.coalesce("s", F.lit("quarantine"))).drop("s")
 
 
 def assign_splits(events: DataFrame, images: DataFrame, seed: int = 42, policy: str = "auto", rng: str = "sha") -> DataFrame:
-    """Components and splits; ranked data keep official splits, choice data are grouped."""
-    dataset = events.select("dataset").first()[0]
+    """Components and splits; ranked data keep official splits, choice data are grouped.
+
+    The events are of one dataset.  Without events there are no rows, whatever the policy.
+    """
+    found = [r.dataset for r in events.select("dataset").distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError("split each dataset by itself")
+    dataset = found[0] if found else None
     official = policy == "official" or (policy == "auto" and dataset == "ranked")
     if dataset == "ranked" and not official:
         raise ValueError("ranked data keep their official splits")
@@ -114,25 +124,31 @@ def quotas(limit: int) -> dict[str, int]:
 def sample_components(events: DataFrame, limit: int = 500, seed: int = 42) -> DataFrame:
     """Whole components in hash order until the prompt caps; one that overflows is skipped.
 
-    The greedy pass per split reads one (hash, id, size) row a component; with limit 0 all
-    are taken and nothing is gathered.
+    Per split the driver reads the next READ components that still fit, until the cap is met or
+    none is left, so it sees few more than it takes; at most ``limit`` are taken.  With limit 0
+    all are taken and nothing is gathered.
     """
     able = F.col("exclusion_reason").isNull() & (F.col("analysis_split") != "quarantine")
     if not limit:
         return events.withColumn("sampled", able)
-    cap = F.create_map(*[F.lit(x) for kv in quotas(limit).items() for x in kv])
     sizes = events.where(able).groupBy("analysis_split", "dependency_cluster_id").agg(F.count_distinct("prompt_group_id").alias("size"))
     name = F.concat(F.lit(f"[{seed},["), F.to_json(F.array("analysis_split", "dependency_cluster_id")).substr(F.lit(2), F.lit(1 << 30)))
-    order = F.sha2(F.concat(name, F.lit("]")), 256)
-    listed = sizes.groupBy("analysis_split").agg(F.array_sort(F.collect_list(F.struct(order.alias("h"), F.col("dependency_cluster_id").alias("c"), "size"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("taken"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["size"] <= F.element_at(cap, F.col("analysis_split")).cast("bigint")
-        return F.struct((acc["used"] + F.when(fits, x["size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(x["c"]))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = listed.select(F.explode(F.aggregate("xs", start, step, lambda acc: acc["taken"])).alias("dependency_cluster_id")).withColumn("t", F.lit(True))
-    return events.join(taken, "dependency_cluster_id", "left").withColumn("sampled", able & F.coalesce("t", F.lit(False))).drop("t")
+    sizes = Scratch(events.sparkSession, "sample").write(sizes.withColumn("h", F.sha2(F.concat(name, F.lit("]")), 256)))
+    taken: list[str] = []
+    for split, left in quotas(limit).items():
+        after = ""
+        while left:
+            fits = sizes.where((F.col("analysis_split") == split) & (F.col("size") <= left) & (F.col("h") > after))
+            rows = fits.orderBy("h").limit(READ).collect()
+            for r in rows:
+                if r["size"] <= left:
+                    left -= r["size"]
+                    taken.append(r.dependency_cluster_id)
+            if len(rows) < READ:
+                break
+            after = rows[-1].h
+    mark = events.sparkSession.createDataFrame([(c, True) for c in taken], "dependency_cluster_id string, t boolean")
+    return events.join(F.broadcast(mark), "dependency_cluster_id", "left").withColumn("sampled", able & F.coalesce("t", F.lit(False))).drop("t")  # at most limit rows
 
 
 def complete_events(events: DataFrame, valid: DataFrame) -> DataFrame:

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import ingest, pairs, scoring, splits
+from tessella.operators.blocks import ScoreBlocks
 from tessella.sources.scratch import Scratch
 
-CONCEPTS = 50
+_held: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    """Ends the sharing below; each query starts with it."""
+    _held.clear()
+
+
+def shared(f):
+    """Within a query a projection is made once, however many branches ask for it."""
+
+    @functools.wraps(f)
+    def once(spark, d, *args):
+        key = (f.__name__, d, *args)
+        if key not in _held:
+            _held[key] = f(spark, d, *args)
+        return _held[key]
+
+    return once
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -16,14 +37,24 @@ def kept(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession, "kept").write(df)
 
 
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@shared
+def bank_size(spark: SparkSession, d: str) -> int:
+    """A tenth of the vectors are the concept bank, so it grows with the table."""
+    return table(spark, d, "embeddings").count() // 10
+
+
+def vector() -> Column:
+    """The vectors have length one; these have not."""
+    return F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5))
+
+
 def concepts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where(F.col("vec_id") < CONCEPTS)
-    return e.select(F.col("vec_id").cast("int").alias("concept_id"), F.concat(F.lit("c"), "vec_id").alias("concept"), "embedding")
+    e = table(spark, d, "embeddings").where(F.col("vec_id") < bank_size(spark, d))
+    return e.select(F.col("vec_id").cast("int").alias("concept_id"), F.concat(F.lit("c"), "vec_id").alias("concept"), vector().alias("embedding"))
 
 
 def patches(spark: SparkSession, d: str, prefix: str = "ranked:") -> DataFrame:
@@ -31,11 +62,14 @@ def patches(spark: SparkSession, d: str, prefix: str = "ranked:") -> DataFrame:
     e = table(spark, d, "embeddings")
     i = F.floor(F.col("vec_id") / 2).cast("bigint")
     name = F.concat(F.lit(prefix), i.cast("string"))
-    return e.select(i.alias("i"), name.alias("image_id"), (F.col("vec_id") % 2).cast("int").alias("patch_id"), (F.col("vec_id") % 7 != 3).alias("valid"), "embedding", "label")
+    return e.select(i.alias("i"), name.alias("image_id"), (F.col("vec_id") % 2).cast("int").alias("patch_id"), (F.col("vec_id") % 7 != 3).alias("valid"), vector().alias("embedding"), "label")
 
 
-def scores(spark: SparkSession, d: str, prefix: str = "ranked:") -> DataFrame:
-    return scoring.max_patch_scores(patches(spark, d, prefix), concepts(spark, d))
+@shared
+def scores(spark: SparkSession, d: str, prefix: str = "ranked:") -> ScoreBlocks:
+    """Score blocks; image numbers whose valid patches are none have no row."""
+    got = scoring.score_blocks(patches(spark, d, prefix), concepts(spark, d))
+    return ScoreBlocks(kept(got.rows), got.ids)
 
 
 def ranked_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +94,12 @@ def ranked(spark: SparkSession, d: str, mode: str = "all_strict_pairs") -> tuple
     return ingest.ranked_events(ranked_rows(spark, d), mode)
 
 
+@shared
 def ranked_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(images, events) with components, official splits and everything sampled."""
     images, events = ranked(spark, d)
     events = kept(events)
-    return images, splits.sample_components(splits.assign_splits(events, images), 0)
+    return images, kept(splits.sample_components(splits.assign_splits(events, images), 0))
 
 
 def choice_image_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -102,12 +137,14 @@ def choice(spark: SparkSession, d: str, cohort: str = "matched") -> tuple[DataFr
     return images.withColumn("dataset", F.lit("choice")).withColumn("source_image_uid", F.col("image_uid")), ingest.choice_events(choice_rows(spark, d), images, cohort)
 
 
+@shared
 def choice_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     images, events = choice(spark, d)
     events = kept(events)
-    return images, splits.sample_components(splits.assign_splits(events, images), 0)
+    return images, kept(splits.sample_components(splits.assign_splits(events, images), 0))
 
 
+@shared
 def ranked_comparisons(spark: SparkSession, d: str, mode: str | None = None) -> DataFrame:
     images, events = ranked_split(spark, d)
     return kept(pairs.construct_comparisons(events, mode=mode))

@@ -6,9 +6,10 @@ import itertools
 
 #: Text of each common table expression; a query names those it needs, in order.
 CTES = {
-    "concepts": "SELECT vec_id::INT AS concept_id, 'c' || vec_id AS concept, embedding::DOUBLE[] AS emb FROM embeddings WHERE vec_id < 50",
-    "patches": "SELECT vec_id // 2 AS i, (vec_id % 2)::INT AS patch_id, vec_id % 7 <> 3 AS valid, embedding::DOUBLE[] AS emb, label FROM embeddings",
-    "sims": "SELECT i, patch_id, concept_id, list_dot_product(p.emb, c.emb) AS sim FROM patches p, concepts c WHERE valid",
+    "vecs": "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 5)) AS emb, label, vec_id < (SELECT count(*) // 10 FROM embeddings) AS bank FROM embeddings",
+    "concepts": "SELECT vec_id::INT AS concept_id, 'c' || vec_id AS concept, emb FROM vecs WHERE bank",
+    "patches": "SELECT vec_id // 2 AS i, (vec_id % 2)::INT AS patch_id, vec_id % 7 <> 3 AS valid, emb, label FROM vecs",
+    "sims": "SELECT i, patch_id, concept_id, list_dot_product(p.emb, c.emb) / sqrt(list_dot_product(p.emb, p.emb) * list_dot_product(c.emb, c.emb)) AS sim FROM patches p, concepts c WHERE valid",
     "scores": "SELECT i, concept_id, max(sim) AS score FROM sims GROUP BY ALL",
     "rr": """SELECT i, i // 5 AS g, label, 1 + label % 3 AS rank,
                CASE WHEN i // 5 % 20 < 14 THEN 'train' WHEN i // 5 % 20 < 17 THEN 'validation' ELSE 'test' END AS split,
@@ -65,7 +66,7 @@ CTES = {
     "righteff": "SELECT concept_id, round(avg(effect), 9) AS effect FROM cpv WHERE analysis_split = 'discovery' GROUP BY concept_id",
     "frozen": """SELECT concept_id, 'c' || concept_id AS concept, side, CASE WHEN side = 'preferred' THEN 1 ELSE -1 END AS direction, r::INT AS discovery_rank, effect AS discovery_effect FROM (
                SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(effect) DESC, concept_id) AS r FROM (
-                 SELECT *, CASE WHEN effect > 0 THEN 'preferred' ELSE 'rejected' END AS side FROM lefteff WHERE effect <> 0)) WHERE r <= 5""",
+                 SELECT *, CASE WHEN effect > 0 THEN 'preferred' ELSE 'rejected' END AS side FROM lefteff WHERE effect <> 0)) WHERE r <= 10""",
     "docs": "SELECT doc_id::VARCHAR AS image_id, md5(text) AS content_hash, CASE WHEN doc_id % 4 = 0 THEN md5(lower(text)) END AS pixel_hash, doc_id FROM documents",
     "didx": "SELECT image_id, coalesce(pixel_hash, content_hash) AS identity FROM docs",
     "gstrata": """SELECT *, count(*) OVER (PARTITION BY stratum, event_id) AS n FROM (
@@ -83,7 +84,7 @@ def quota_table(most: int = 400) -> str:
 
 
 CTES["quota"] = quota_table()
-ORDER = ["concepts", "patches", "sims", "scores", "rr", "re", "rcomp", "ev", "live", "modes", "rpairs", "rc", "ci", "cb", "ce", "ccomp", "quota", "csplit", "cev", "cc", "pv", "cpv", "lefteff", "righteff", "frozen", "docs", "didx", "gstrata"]
+ORDER = ["vecs", "concepts", "patches", "sims", "scores", "rr", "re", "rcomp", "ev", "live", "modes", "rpairs", "rc", "ci", "cb", "ce", "ccomp", "quota", "csplit", "cev", "cc", "pv", "cpv", "lefteff", "righteff", "frozen", "docs", "didx", "gstrata"]
 
 
 def needs(text: str) -> set[str]:
@@ -100,7 +101,7 @@ def sql(text: str, extra: str = "", recursive: bool = False) -> str:
     return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" if parts else "") + text
 
 
-def bootstrap(source: str, value: str, keys: str = "concept_id", resamples: int = 200, seed: int = 42) -> str:
+def bootstrap(source: str, value: str, keys: str = "concept_id", resamples: int = 2000, seed: int = 42) -> str:
     """(keys, low, high) over the components of a prompt-value expression."""
     return f"""SELECT {keys}, CASE WHEN max(kk) > 1 THEN quantile_cont(x, 0.025) END AS low, CASE WHEN max(kk) > 1 THEN quantile_cont(x, 0.975) END AS high FROM (
         SELECT {keys}, b, max(kk) AS kk, sum(v * n) / sum(s * n) AS x FROM (
@@ -131,8 +132,11 @@ def _pairs(mode: str) -> str:
     return sql(f"SELECT {PAIR} FROM rpairs WHERE mode = '{mode}'")
 
 
+METRIC_CELLS = (("avg(effect)", "effect"), ("avg(preferred)", "preferred_mean"), ("avg(rejected)", "rejected_mean"), ("avg(ordering)", "concordance"), ("stddev_samp(effect)", "prompt_effect_sd"), ("stddev_samp(preferred)", "preferred_prompt_sd"), ("stddev_samp(rejected)", "rejected_prompt_sd"))
+
+
 def _wide() -> str:
-    cells = ", ".join(f"round(avg({c}) FILTER (analysis_split = '{s}'), 6) AS {s}_{n}" for s, (c, n) in itertools.product(("discovery", "validation", "test"), (("effect", "effect"), ("ordering", "concordance"))))
+    cells = ", ".join(f"round({c} FILTER (analysis_split = '{s}'), 6) AS {s}_{n}" for s, (c, n) in itertools.product(("discovery", "validation", "test"), METRIC_CELLS))
     return sql(f"SELECT concept_id, {cells} FROM pv GROUP BY concept_id")
 
 
@@ -192,15 +196,15 @@ ORACLES = {
     "concept_norm_audit": sql("SELECT count(*) AS concepts, min(len(emb))::INT AS min_dim, max(len(emb))::INT AS max_dim, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm, round(avg(n), 6) AS mean_norm FROM (SELECT emb, sqrt(list_dot_product(emb, emb)) AS n FROM concepts)"),
     "max_patch_scores": sql("SELECT 'ranked:' || i AS image_id, concept_id, round(score, 6) AS score FROM scores"),
     "patch_argmax": sql("SELECT 'ranked:' || i AS image_id, concept_id, arg_max(patch_id, sim) AS patch_id, round(max(sim), 6) AS sim FROM sims GROUP BY i, concept_id"),
-    "nearest_bank_row": sql("SELECT vec_id::INT AS query_id, arg_max(concept_id, list_dot_product(embedding::DOUBLE[], emb)) AS concept_id, round(max(list_dot_product(embedding::DOUBLE[], emb)), 6) AS sim FROM embeddings, concepts WHERE vec_id >= 50 AND vec_id < 150 GROUP BY vec_id"),
+    "nearest_bank_row": sql("SELECT vec_id::INT AS query_id, arg_max(concept_id, list_cosine_similarity(v.emb, c.emb)) AS concept_id, round(max(list_cosine_similarity(v.emb, c.emb)), 6) AS sim FROM vecs v, concepts c WHERE NOT bank GROUP BY vec_id"),
     "bank_diagnosis": sql(
-        "SELECT round(avg(cos), 6) AS mean_cosine, round(min(cos), 6) AS min_cosine, round(max(err), 6) AS max_abs_error, (SELECT round(avg((best = q)::INT), 6) FROM (SELECT x.concept_id AS q, arg_max(c.concept_id, list_dot_product(x.emb, c.emb)) AS best FROM shifted x, concepts c GROUP BY 1)) AS same_row_nearest FROM (SELECT list_cosine_similarity(x.emb, c.emb) AS cos, list_max(list_transform(range(1, 65), lambda t: abs(x.emb[t] - c.emb[t]))) AS err FROM shifted x JOIN concepts c USING (concept_id))",
-        "shifted AS (SELECT (vec_id - 1)::INT AS concept_id, embedding::DOUBLE[] AS emb FROM embeddings WHERE vec_id >= 1 AND vec_id < 51)",
+        "SELECT round(avg(cos), 6) AS mean_cosine, round(min(cos), 6) AS min_cosine, round(max(err), 6) AS max_abs_error, (SELECT round(avg((best = q)::INT), 6) FROM (SELECT x.concept_id AS q, arg_max(c.concept_id, list_cosine_similarity(x.emb, c.emb)) AS best FROM shifted x, concepts c GROUP BY 1)) AS same_row_nearest FROM (SELECT list_cosine_similarity(x.emb, c.emb) AS cos, list_max(list_transform(range(1, 65), lambda t: abs(x.emb[t] / sqrt(list_dot_product(x.emb, x.emb)) - c.emb[t] / sqrt(list_dot_product(c.emb, c.emb))))) AS err FROM shifted x JOIN concepts c USING (concept_id))",
+        "shifted AS (SELECT (vec_id - 1)::INT AS concept_id, emb FROM vecs WHERE vec_id >= 1 AND vec_id <= (SELECT count(*) // 10 FROM embeddings))",
     ),
     "row_dedup_index": sql("SELECT image_id, identity, dense_rank() OVER (ORDER BY first) - 1 AS score_row FROM didx JOIN (SELECT identity, min(image_id) AS first FROM didx GROUP BY identity) USING (identity)"),
     "worker_partition": sql("SELECT image_id, ((dense_rank() OVER (ORDER BY identity) - 1) % 4)::INT AS worker FROM didx"),
     "score_reuse": sql("SELECT doc_id AS score_row, source_row FROM docs JOIN (SELECT content_hash, max(doc_id) AS source_row FROM docs GROUP BY 1) USING (content_hash) WHERE doc_id % 2 = 0 AND source_row % 3 <> 0"),
-    "score_equivalence": sql("SELECT count(*) AS cells, 0.001 AS max_abs_difference, count(*) FILTER (concept_id IN (4, 49)) AS validity_differences, false AS equivalent FROM scores"),
+    "score_equivalence": sql("SELECT count(*) AS cells, 0.001 AS max_abs_difference, count(*) FILTER (concept_id = 4 OR concept_id >= 49) AS validity_differences, false AS equivalent FROM scores"),
     "hierarchical_effects": sql(f"SELECT concept_id, {METRICS} FROM pv WHERE analysis_split = 'discovery' GROUP BY concept_id"),
     "effects_eager": sql("SELECT concept_id, round(avg(effect), 6) AS effect FROM pv WHERE analysis_split = 'discovery' GROUP BY concept_id"),
     "pair_concordance": sql("SELECT concept_id, sum(CASE WHEN d > 0.05 THEN 1.0 WHEN abs(d) <= 0.05 THEN 0.5 ELSE 0 END)::DOUBLE AS wins, count(*) AS pairs FROM (SELECT a.concept_id, round(a.score - b.score, 9) AS d FROM rc JOIN scores a ON a.i = rc.w JOIN scores b ON b.i = rc.l AND a.concept_id = b.concept_id WHERE analysis_split = 'discovery') GROUP BY 1"),
@@ -214,7 +218,7 @@ ORACLES = {
     "joint_score": sql(
         """SELECT round(avg(effect), 6) AS effect, round(avg(o), 6) AS concordance, count(*) AS prompts FROM (SELECT prompt_group_id, avg(e) AS effect, avg(o) AS o FROM (
         SELECT prompt_group_id, event_id, avg(a.s) - avg(b.s) AS e, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) AS o FROM rc JOIN js a ON a.i = w JOIN js b ON b.i = l WHERE analysis_split = 'test' GROUP BY ALL) GROUP BY 1)""",
-        "js AS (SELECT i, round(sum(direction * score) / count(*), 9) AS s FROM scores JOIN frozen USING (concept_id) GROUP BY i)",
+        "js AS (SELECT i, round(sum(direction * score) / (SELECT count(*) FROM frozen), 9) AS s FROM scores JOIN frozen USING (concept_id) GROUP BY i)",
     ),
     "all_concepts_wide": _wide(),
     "construction_sensitivity": sql("""SELECT mode AS construction_mode, concept_id, round(avg(e), 6) AS effect, count(*) AS prompts FROM (SELECT mode, concept_id, prompt_group_id, avg(e) AS e FROM (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +13,21 @@ from tessella.operators import statistics as st
 from tessella.plans import demo
 from tessella.sources import io
 
-TOP_K, RESAMPLES, SEED = 5, 200, 42
+TOP_K, RESAMPLES, SEED = 10, 2000, 42
 QUERIES: dict = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark, d):
+        demo.forget()
+        try:
+            return f(spark, d)
+        finally:
+            demo.forget()
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
@@ -32,12 +42,18 @@ def test_of(c: DataFrame) -> DataFrame:
     return c.where("analysis_split = 'test'")
 
 
-def frozen(spark: SparkSession, d: str, prefix: str = "ranked:") -> DataFrame:
+@demo.shared
+def frozen(spark: SparkSession, d: str) -> DataFrame:
     prompts = st.prompt_values(discovery(demo.ranked_comparisons(spark, d)), demo.scores(spark, d))
     effects = st.hierarchical_means(prompts).select("concept_id", F.round("effect", 9).alias("effect"))
     return demo.kept(st.select_candidates(effects, demo.concepts(spark, d), TOP_K))
 
 
+def listed(f: DataFrame) -> list[int]:
+    """The concepts of a frozen list (at most 2 * TOP_K)."""
+    return [r.concept_id for r in f.select("concept_id").collect()]
+
+
 # --- canonical values -----------------------------------------------------------------------
 @query
 def prompt_normalize(spark, d):
@@ -279,7 +295,7 @@ def concept_norm_audit(spark, d):
 
 @query
 def max_patch_scores(spark, d):
-    return r6(demo.scores(spark, d), "score")
+    return r6(demo.scores(spark, d).long().where("score is not null"), "score")
 
 
 @query
@@ -289,13 +305,13 @@ def patch_argmax(spark, d):
 
 @query
 def nearest_bank_row(spark, d):
-    others = demo.table(spark, d, "embeddings").where(F.col("vec_id") >= demo.CONCEPTS).select(F.col("vec_id").cast("int").alias("concept_id"), "embedding")
+    others = demo.table(spark, d, "embeddings").where(F.col("vec_id") >= demo.bank_size(spark, d)).select(F.col("vec_id").cast("int").alias("concept_id"), demo.vector().alias("embedding"))
     return r6(scoring.nearest_rows(others, demo.concepts(spark, d)), "sim")
 
 
 @query
 def bank_diagnosis(spark, d):
-    shifted = demo.table(spark, d, "embeddings").where("vec_id >= 1 and vec_id < 51").select((F.col("vec_id") - 1).cast("int").alias("concept_id"), "embedding")
+    shifted = demo.table(spark, d, "embeddings").where(F.col("vec_id").between(1, demo.bank_size(spark, d))).select((F.col("vec_id") - 1).cast("int").alias("concept_id"), demo.vector().alias("embedding"))
     return scoring.bank_diagnosis(shifted, demo.concepts(spark, d))
 
 
@@ -323,7 +339,7 @@ def score_reuse(spark, d):
 
 @query
 def score_equivalence(spark, d):
-    s = demo.scores(spark, d)
+    s = demo.scores(spark, d).long().where("score is not null")
     other = s.where("concept_id < 49").withColumn("score", F.when(F.col("concept_id") == 3, F.col("score") + 0.001).when(F.col("concept_id") == 4, None).otherwise(F.col("score")))
     return r6(scoring.equivalence(s, other), "max_abs_difference")
 
@@ -373,13 +389,15 @@ EVALUATED = ("concept_id", "side", "direction", "discovery_rank", "heldout_effec
 
 @query
 def frozen_eval(spark, d):
-    prompts = demo.kept(st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d)))
-    return r6(st.evaluate_frozen(frozen(spark, d), prompts, RESAMPLES, SEED).select(*EVALUATED), *EVALUATED[4:])
+    f = frozen(spark, d)
+    prompts = demo.kept(st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d), concepts=listed(f)))
+    return r6(st.evaluate_frozen(f, prompts, RESAMPLES, SEED).select(*EVALUATED), *EVALUATED[4:])
 
 
 @query
 def joint_score(spark, d):
-    s = st.joint_scores(demo.scores(spark, d), frozen(spark, d))
+    # rounded so that ties stay ties in both engines
+    s = st.joint_scores(demo.scores(spark, d), frozen(spark, d)).withColumn("score", F.round("score", 9))
     prompts = st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), s)
     return r6(st.hierarchical_means(prompts).select("effect", "concordance", "prompts"), "effect", "concordance")
 
@@ -388,7 +406,7 @@ def joint_score(spark, d):
 def all_concepts_wide(spark, d):
     prompts = st.prompt_values(demo.ranked_comparisons(spark, d), demo.scores(spark, d), by=("analysis_split",))
     long = st.hierarchical_means(prompts, ("analysis_split",))
-    return long.groupBy("concept_id").pivot("analysis_split", ["discovery", "validation", "test"]).agg(F.round(F.first("effect"), 6).alias("effect"), F.round(F.first("concordance"), 6).alias("concordance"))
+    return long.groupBy("concept_id").pivot("analysis_split", ["discovery", "validation", "test"]).agg(*[F.round(F.first(m), 6).alias(m) for m in st.METRICS])
 
 
 @query
@@ -457,19 +475,21 @@ def generator_sensitivity(spark, d):
 
 @query
 def activation_corr(spark, d):
-    got = sensitivity.activation_correlation(demo.scores(spark, d), demo.ranked_comparisons(spark, d), frozen(spark, d))
+    f = frozen(spark, d)
+    got = sensitivity.activation_correlation(demo.scores(spark, d).only(listed(f)).long(), demo.ranked_comparisons(spark, d), f)
     return r6(got.select("concept_id", "kept_id", "correlation"), "correlation")
 
 
 @query
 def diversity_filter(spark, d):
     f = frozen(spark, d)
-    return sensitivity.diversity_filter(sensitivity.activation_correlation(demo.scores(spark, d), demo.ranked_comparisons(spark, d), f), f, 0.1)
+    return sensitivity.diversity_filter(sensitivity.activation_correlation(demo.scores(spark, d).only(listed(f)).long(), demo.ranked_comparisons(spark, d), f), f, 0.1)
 
 
 @query
 def gallery_selection(spark, d):
-    got = sensitivity.gallery_selection(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d).withColumn("score", F.round("score", 9)), frozen(spark, d))
+    f = frozen(spark, d)
+    got = sensitivity.gallery_selection(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d).only(listed(f)).long().withColumn("score", F.round("score", 9)), f)
     return r6(got, "difference")
 
 
@@ -519,8 +539,9 @@ def transfer_exclusions(spark, d):
 def transfer_eval(spark, d):
     target, hit = _transfer(spark, d)
     kept = transfer.retained_comparisons(target, hit)
-    prompts = demo.kept(st.prompt_values(kept, demo.scores(spark, d, "choice:")))
-    got = st.evaluate_frozen(frozen(spark, d), prompts, RESAMPLES, SEED).select(*EVALUATED)
+    f = frozen(spark, d)
+    prompts = demo.kept(st.prompt_values(kept, demo.scores(spark, d, "choice:"), concepts=listed(f)))
+    got = st.evaluate_frozen(f, prompts, RESAMPLES, SEED).select(*EVALUATED)
     return r6(got, *EVALUATED[4:])
 
 
@@ -533,7 +554,7 @@ def duplicate_audit(spark, d):
 
 @query
 def replication_summary(spark, d):
-    prompts = st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d))
     f = frozen(spark, d)
+    prompts = st.prompt_values(test_of(demo.ranked_comparisons(spark, d)), demo.scores(spark, d), concepts=listed(f))
     held = st.hierarchical_means(prompts).select("concept_id", F.round("effect", 9).alias("effect"))
     return f.join(held, "concept_id").groupBy("side").agg(F.count_if(F.col("direction") * F.col("effect") > 0).alias("replicated"), F.count("*").alias("candidates"))

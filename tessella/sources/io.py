@@ -90,8 +90,14 @@ def save_manifest(root: str, tables: dict[str, DataFrame], audit: dict, provenan
     write_json(f"{root}/provenance.json", provenance)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any store that Spark reaches has the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def load_manifest(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict, dict]:
-    tables = {n: spark.read.parquet(f"{root}/{n}") for n in ENTITIES if os.path.exists(f"{root}/{n}")}
+    tables = {n: spark.read.parquet(f"{root}/{n}") for n in ENTITIES if exists(spark, f"{root}/{n}")}
     return tables, read_json(f"{root}/dataset_audit.json"), read_json(f"{root}/provenance.json")
 
 

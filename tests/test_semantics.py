@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import canon
-from tessella.operators import graph, ingest, pairs, scoring, sensitivity, splits, transfer
+from tessella.operators import blocks, graph, ingest, pairs, scoring, sensitivity, splits, transfer
 from tessella.operators import statistics as st
+from tessella.operators.numbering import row_numbers, running_sums
 
 RANKED = "original_split string, prompt_id string, prompt string, image_path string, rank double, image_amount_in_total double, ordinal long"
 COMPARISON = "event_id string, preferred_image_id string, rejected_image_id string, within_event_weight double, prompt_group_id string, analysis_split string, dependency_cluster_id string"
@@ -230,8 +231,16 @@ def test_scores(spark):
     patches = spark.createDataFrame([("x", 0, True, [-1.0, 0.0]), ("x", 1, False, [1.0, 0.0]), ("void", 0, False, [1.0, 0.0])], "image_id string, patch_id int, valid boolean, embedding array<float>")
     bank = spark.createDataFrame([(0, "c", [1.0, 0.0])], "concept_id int, concept string, embedding array<float>")
     assert {r.image_id: r.score for r in scoring.max_patch_scores(patches, bank).collect()} == {"x": -1.0, "void": None}
-    wide = scoring.blocked_scores(patches, np.array([[1, 0], [0, 1], [2, 0]], np.float32), 2).orderBy("block_id").collect()
-    assert [list(r.scores) for r in wide] == [[-1.0, 0.0], [-2.0]]
+    # cosines: rows of any length count alike
+    names = "concept_id int, concept string, embedding array<float>"
+    three = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (2, "c", [2.0, 0.0])], names)
+    wide = scoring.score_blocks(patches.withColumn("embedding", F.transform("embedding", lambda x: x * 3)), three)
+    assert {r.image_id: list(r.scores) for r in wide.rows.collect()} == {"x": [-1.0, 0.0, -1.0], "void": [None] * 3} and wide.ids == ((0, 1, 2),)
+    for bad in ([0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0]):
+        with pytest.raises(Exception, match="zero or not finite"):
+            scoring.score_blocks(patches.withColumn("embedding", F.lit(bad).cast("array<float>")), three).rows.collect()
+    with pytest.raises(ValueError):
+        scoring.score_blocks(patches, three.where("concept_id <> 1"))
     scoring.bank_audit(bank).collect()
     for bad in ([(0, " ", [1.0])], [(0, "c", [0.0])], [(0, "c", [float("nan")])]):
         with pytest.raises(Exception, match="blank"):
@@ -285,3 +294,109 @@ def test_spearman_and_overlap(spark):
     r = transfer.topk_overlap(a, b).first()
     assert r.intersection == 1 and abs(r.jaccard - 1 / 3) < 1e-9
     assert transfer.topk_overlap(a, b, False).first().jaccard is None
+
+
+def test_blocks_equal_the_long_form(spark, monkeypatch):
+    """Scores of several blocks and slices, patches of an image in several partitions and batches."""
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(scoring, "BLOCK", 8)
+    monkeypatch.setattr(scoring, "BANK_BYTES", 8 * 3 * 16)
+    monkeypatch.setattr(scoring, "STEP_BYTES", 1)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    p, c = r.normal(size=(90, 3)), r.normal(size=(37, 3))
+    rows = [(f"i{k % 12}", k // 12, k % 5 != 0 and k % 12 != 7, p[k].tolist()) for k in range(90)]
+    patches = spark.createDataFrame(rows, "image_id string, patch_id int, valid boolean, embedding array<double>").repartition(5)
+    bank = spark.createDataFrame([(k, f"c{k}", c[k].tolist()) for k in range(37)], "concept_id int, concept string, embedding array<double>")
+    sims = (p / np.linalg.norm(p, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
+    got = {(x.image_id, x.concept_id): x.score for x in scoring.max_patch_scores(patches, bank).collect()}
+    assert len(got) == 12 * 37
+    for i in range(12):
+        live = [k for k, x in enumerate(rows) if x[0] == f"i{i}" and x[2]]
+        for j in range(37):
+            assert got[f"i{i}", j] is None if not live else abs(got[f"i{i}", j] - sims[live, j].max()) < 1e-12
+    best = {(x.image_id, x.concept_id): x.patch_id for x in scoring.patch_argmax(patches, bank).collect()}
+    assert len(best) == 11 * 37 and best["i3", 30] == max((k for k, x in enumerate(rows) if x[0] == "i3" and x[2]), key=lambda k: sims[k, 30]) // 12
+    near = {x.query_id: x.concept_id for x in scoring.nearest_rows(bank.select((F.col("concept_id") + 5).alias("concept_id"), "embedding"), bank).collect()}
+    assert near == {k + 5: k for k in range(37)}
+    made = scoring.score_blocks(patches.where("image_id <> 'i7'"), bank)
+    some = {(x.image_id, x.concept_id): x.score for x in made.only([30, 2, 3]).long().collect()}
+    assert some == {k: v for k, v in got.items() if k[1] in (2, 3, 30) and k[0] != "i7"}
+    # estimands from blocks equal those of plain loops
+    pairs_ = [(f"e{k % 9}", f"i{a}", f"i{b}", 1.0, f"p{k % 3}", f"k{k % 3}") for k, (a, b) in enumerate((a, b) for a in range(7) for b in range(8, 12))]
+    values = {(x.concept_id, x.prompt_group_id): x for x in st.prompt_values(comparisons(spark, pairs_), made).collect()}
+    for j in (0, 17, 36):
+        for g in range(3):
+            events = {}
+            for e, a, b, _, prompt, _ in pairs_:
+                if prompt == f"p{g}":
+                    events.setdefault(e, []).append((got[a, j], got[b, j]))
+            w = np.mean([np.mean([a for a, _ in v]) for v in events.values()])
+            o = np.mean([np.mean([a > b for a, b in v]) for v in events.values()])
+            assert abs(values[j, f"p{g}"].preferred - w) < 1e-12 and abs(values[j, f"p{g}"].ordering - o) < 1e-12
+    n = len(pairs_)
+    eager = {x.concept_id: x.effect for x in st.eager_effects(comparisons(spark, pairs_), made).collect()}
+    plain = {x.concept_id: x.effect for x in st.hierarchical_means(st.prompt_values(comparisons(spark, pairs_), made.long())).collect()}
+    assert n and len(eager) == 37 and all(abs(eager[j] - plain[j]) < 1e-12 for j in eager)
+
+
+def test_bootstrap_of_several_values(spark):
+    rows = [(c, f"p{k}", f"k{k % 6}", float(k * (c + 1) % 7), float(k % 2)) for k in range(30) for c in range(3)]
+    p = spark.createDataFrame(rows, "concept_id int, prompt_group_id string, dependency_cluster_id string, effect double, ordering double")
+    both = {r.concept_id: r for r in st.cluster_bootstrap(p, ("effect", "ordering"), 300, 5).collect()}
+    draws = [d for d in st.sha_draws(300, 6, 5)]
+    for c in range(3):
+        for name, v in (("effect", 3), ("ordering", 4)):
+            sums = np.array([sum(x[v] for x in rows if x[0] == c and x[2] == f"k{k}") for k in range(6)])
+            size = np.array([sum(1 for x in rows if x[0] == c and x[2] == f"k{k}") for k in range(6)])
+            x = [sums[d].sum() / size[d].sum() for d in draws]
+            assert np.allclose([both[c][f"{name}_low"], both[c][f"{name}_high"]], np.quantile(x, [0.025, 0.975]))
+    assert st.cluster_bootstrap(p.limit(0), "effect", 5).count() == 0
+    with pytest.raises(ValueError):
+        st.cluster_bootstrap(p, "effect", 0)
+
+
+def test_numbers_and_running_sums(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"), F.lit(2).alias("n")).repartition(7)
+    assert all(r.k == r.x for r in row_numbers(df, ["x"], "k").collect())
+    assert all(r.s == 2 * (r.x + 1) for r in running_sums(df, "x", {"n": "s"}).collect())
+    assert row_numbers(df.limit(0), ["x"], "k").count() == 0 and running_sums(df.limit(0), "x", {"n": "s"}).count() == 0
+
+
+def test_components_by_stars_and_in_parts(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"e{r.randrange(150):03d}", f"k{r.randrange(140)}") for _ in range(260)] + [(f"x{k:03d}", f"c{j}") for k in range(70) for j in (k, k + 1)]
+    edges = spark.createDataFrame(rows, "event_id string, key string")
+    one = {tuple(x) for x in graph.least_labels(edges).collect()}
+    assert {tuple(x) for x in graph.least_labels(edges, local_links=0).collect()} == one and ("x069", "x000") in one
+    labels = spark.createDataFrame(sorted(one), "event_id string, label string")
+    whole = dict(graph.component_digests(labels).collect())
+    parts = dict(graph.component_digests(labels, members=20).collect())
+    from tessella.sources.io import digest
+
+    chain = [f"x{k:03d}" for k in range(70)]
+    assert whole["x000"] == digest(chain) and parts["x000"] == digest([digest(chain[k : k + 20]) for k in range(0, 70, 20)])
+    small = {k for k in whole if sum(x[1] == k for x in one) <= 20}
+    assert small and all(parts[k] == whole[k] for k in small)
+
+
+def test_nothing_to_split(spark):
+    images, events = events_of(spark, group((1, 2)))
+    assert splits.assign_splits(events.limit(0), images).count() == 0
+    with pytest.raises(ValueError):
+        splits.assign_splits(events.unionByName(events.withColumn("dataset", F.lit("choice"))), images)
+
+
+def test_sample_reads_on(spark, monkeypatch):
+    """Many components too large for what is left are passed over."""
+    monkeypatch.setattr(splits, "READ", 3)
+    rows = [(f"e{k}_{j}", None, "discovery", f"c{k}", f"p{k}_{j}") for k in range(40) for j in range(1 + k % 4)]
+    e = spark.createDataFrame(rows, "event_id string, exclusion_reason string, analysis_split string, dependency_cluster_id string, prompt_group_id string")
+    want, left = set(), splits.quotas(30)["discovery"]
+    for c in sorted((f"c{k}" for k in range(40)), key=lambda c: splits.order_key(42, "discovery", c)):
+        size = 1 + int(c[1:]) % 4
+        if size <= left:
+            left -= size
+            want.add(c)
+    assert {r.dependency_cluster_id for r in splits.sample_components(e, 30).where("sampled").collect()} == want

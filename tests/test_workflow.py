@@ -96,7 +96,7 @@ def test_incremental_components(spark, tmp_path):
 def test_registry(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 60
-    assert __spark_entry__.entry(spark).count() == 10
+    assert __spark_entry__.entry(spark).count() == 20
 
 
 def test_every_vector_outside_the_bank_is_looked_up(spark):
