@@ -71,34 +71,67 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace)
     marginals of the tempered cells are the targets.  Raises ValueError when the targets
     cannot be met.
     """
-    one = small(cells, MAX_SMALL_CELLS)
-    if one:
-        cells = cells.coalesce(1)
+    if not small(cells, MAX_SMALL_CELLS):
+        return _rake_many(cells, targets, ws)
+    cells = cells.coalesce(1)  # at most MAX_SMALL_CELLS rows
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     for d in DIMENSIONS:
         if targets and d in targets:
-            cells = cells.join(targets[d].select(F.col(d), F.col("target").cast("double").alias(f"t_{d}")), d, "left").fillna({f"t_{d}": 0.0})
+            cells = _with_targets(cells, targets[d], d)
         else:
-            part = F.sum(F.pow(F.col("tokens") / 1.0, F.lit(TEMPER)))
-            cells = cells.withColumn(f"t_{d}", part.over(Window.partitionBy(d)) / part.over(Window.partitionBy(F.lit(1))))
-    current = ws.write(cells.coalesce(1) if one else cells, "cells").withColumn("w", F.col("tokens") / total)
+            part = F.sum(_tempered()).over
+            cells = cells.withColumn(f"t_{d}", part(Window.partitionBy(d)) / part(Window.partitionBy(F.lit(1))))
+    current = ws.write(cells.coalesce(1), "cells").withColumn("w", F.col("tokens") / total)
     for k in range(MAX_PASSES):
-        if one:
-            current = current.coalesce(1)
+        current = current.coalesce(1)
         for _ in range(ROUNDS_PER_PASS):
             for d in DIMENSIONS:
                 over = F.sum("w").over(Window.partitionBy(d))
                 current = current.withColumn("w", F.when(over > 0, F.col("w") * F.col(f"t_{d}") / over).otherwise(0.0))
         current = ws.write(current, f"rake_{k}")
         gaps = [F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"t_{d}")) for d in DIMENSIONS]
-        worst = (current.coalesce(1) if one else current).select(F.greatest(*gaps).alias("g")).agg(F.max("g")).first()[0]
+        worst = current.coalesce(1).select(F.greatest(*gaps).alias("g")).agg(F.max("g")).first()[0]
         if k:
             ws.drop(f"rake_{k - 1}")
         if (worst or 0.0) <= TOLERANCE:
-            break
-    else:
-        raise ValueError(f"mixing targets are missed by {worst} after {MAX_PASSES * ROUNDS_PER_PASS} rounds")
-    return current.select(*DIMENSIONS, "tokens", "w")
+            return current.select(*DIMENSIONS, "tokens", "w")
+    raise ValueError(f"mixing targets are missed by {worst} after {MAX_PASSES * ROUNDS_PER_PASS} rounds")
+
+
+def _tempered() -> Column:
+    return F.pow(F.col("tokens") / 1.0, F.lit(TEMPER))
+
+
+def _with_targets(cells: DataFrame, target: DataFrame, d: str) -> DataFrame:
+    return cells.join(target.select(F.col(d), F.col("target").cast("double").alias(f"t_{d}")), d, "left").fillna({f"t_{d}": 0.0})
+
+
+def _rake_many(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace) -> DataFrame:
+    """The same for any number of cells: marginals are aggregations with partial sums, joined
+    back by broadcast while they are small; a step is written before the next reads it twice."""
+    sums = cells.agg(F.sum("tokens").alias("all"), F.sum(_tempered()).alias("tempered")).first()
+    for d in DIMENSIONS:
+        if targets and d in targets:
+            cells = _with_targets(cells, targets[d], d)
+        else:
+            part = cells.groupBy(d).agg((F.sum(_tempered()) / sums.tempered).alias(f"t_{d}"))
+            cells = cells.join(part, d)
+    current = ws.write(cells.withColumn("w", F.col("tokens") / F.lit(float(sums["all"]))), "many_0")
+    worst, step = 0.0, 0
+    for _ in range(MAX_PASSES * ROUNDS_PER_PASS):
+        worst = 0.0
+        for d in DIMENSIONS:
+            over = ws.write(current.groupBy(d).agg(F.sum("w").alias("over"), F.max(f"t_{d}").alias("t")), f"over_{step}")
+            gap = over.agg(F.max(F.abs(F.col("over") - F.col("t")))).first()[0] or 0.0
+            worst = max(worst, gap)
+            over = over.select(d, "over")
+            joined = current.join(F.broadcast(over) if small(over, MAX_SMALL_CELLS) else over, d)
+            following = ws.write(joined.withColumn("w", F.when(F.col("over") > 0, F.col("w") * F.col(f"t_{d}") / F.col("over")).otherwise(0.0)).drop("over"), f"many_{step + 1}")
+            ws.drop(f"many_{step}", f"over_{step}")
+            current, step = following, step + 1
+        if worst <= TOLERANCE:  # before this round's changes, so after them too
+            return current.select(*DIMENSIONS, "tokens", "w")
+    raise ValueError(f"mixing targets are missed by {worst} after {MAX_PASSES * ROUNDS_PER_PASS} rounds")
 
 
 def cell_rates(docs_measured: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace) -> DataFrame:
@@ -133,7 +166,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: st
 
     Null source or language is a value of its own (''); a document without tokens lies in no
     cell and is kept with probability 1.  Rows repeated with one id are decided alike.  An
-    empty table gives no rows.  Other columns are ignored.
+    empty table gives no rows.  Other columns are ignored.  A rate above the reference rate, as
+    small cells may have, becomes a weight above 1.
     """
     ws = Workspace(docs.sparkSession, "mixing")
     rows = ws.write(docs.select(F.col(id_col).alias("doc_id"), *measured(docs, text_col)), "measured")

@@ -534,3 +534,25 @@ def test_raking_ends_at_its_targets(spark, monkeypatch):
     with pytest.raises(ValueError, match="missed"):
         mixing.rake(cells.where("lang = 'a'"), targets, ws)
     ws.close()
+
+
+@pytest.mark.parametrize("limit", [mixing.MAX_SMALL_CELLS, 0])
+def test_raking_equals_plain_fitting(spark, monkeypatch, limit):
+    """Both ways of raking against NumPy."""
+    monkeypatch.setattr(mixing, "MAX_SMALL_CELLS", limit)
+    r = np.random.default_rng(3)
+    tokens_ = r.integers(50, 90, (3, 2, 3)).astype(float)
+    targets = [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4]), np.array([0.2, 0.5, 0.3])]
+    w = tokens_ / tokens_.sum()
+    for _ in range(200):
+        for d, t in enumerate(targets):
+            axes = tuple(k for k in range(3) if k != d)
+            w = w * np.expand_dims(t / w.sum(axis=axes), axes)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(tokens_[i, j, k])) for i in range(3) for j in range(2) for k in range(3)], "source string, lang string, topic string, tokens long")
+    tables = {d: spark.createDataFrame([(f"{d[0]}{k}", float(x)) for k, x in enumerate(t)], f"{d} string, target double") for d, t in zip(mixing.DIMENSIONS, targets, strict=True)}
+    ws = Workspace(spark, "plain")
+    for x in mixing.rake(cells, tables, ws).collect():
+        assert abs(x.w - w[int(x.source[1]), int(x.lang[1]), int(x.topic[1])]) < 1e-6
+    own = mixing.rake(cells.limit(5), None, ws).collect()
+    assert abs(sum(x.w for x in own) - 1) < 1e-9
+    ws.close()
