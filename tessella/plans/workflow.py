@@ -3,8 +3,6 @@ discovery and held-out data."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ def prepare(spark: SparkSession, root: str, dataset: str, metadata: str, image_m
     """Reads a source, applies the ingest rules, splits, samples and writes the manifest."""
     settings = dict(dataset=dataset, metadata=metadata, image_metadata=image_metadata, limit=limit, seed=seed, mode=mode, cohort=cohort, policy=policy, available=available)
     path = f"{root}/prepare.json"
-    if os.path.exists(path):
+    if io.exists(spark, path):
         if io.read_json(path) != io.strict(settings):
             raise ValueError("the folder was prepared with other settings")
         if not resume:
@@ -57,7 +55,7 @@ def freeze(path: str, candidates: list[dict], settings: dict) -> None:
     """Writes the frozen list once; the same list again is fine, any change is an error."""
     made = dict(settings=settings, candidates=candidates)
     made["artifact_hash"] = io.digest(made)
-    if os.path.exists(path):
+    if io.exists(SparkSession.active(), path):
         if io.read_json(path)["artifact_hash"] != made["artifact_hash"]:
             raise ValueError("the frozen list differs; held-out data must not change it")
         return
@@ -175,7 +173,6 @@ def report(out: str) -> str:
 
 def fixture(spark: SparkSession, root: str, dataset: str = "ranked", null: bool = False) -> None:
     """A synthetic run of 20 groups of four images and four concepts with known effects."""
-    os.makedirs(root, exist_ok=True)
     n = spark.range(80).select((F.col("id") / 4).cast("int").alias("g"), (F.col("id") % 4).cast("int").alias("k"), F.col("id").alias("ordinal"))
     name = F.concat(F.lit("g"), "g", F.lit("_"), "k")
     split = F.when(F.col("g") < 14, "train").when(F.col("g") < 17, "validation").otherwise("test")

@@ -45,8 +45,29 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, mode: s
     finite(df).select(cells).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def _store(path: str):
+    """The file system and path of a URI, in any store that Spark reaches."""
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def atomic_text(path: str, text: str) -> None:
-    """A sidecar file on the driver: written beside, synced, renamed."""
+    """A small file beside the tables: written under another name, then renamed.
+
+    A path with a scheme goes through Hadoop's file systems; without one it is a file of the
+    driver, and synced before it is renamed.
+    """
+    if "://" in path:
+        files, target = _store(path)
+        part = target.suffix(".part")
+        out = files.create(part, True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        files.delete(target, False)
+        if not files.rename(part, target):
+            raise OSError(f"{path} could not be renamed into place")
+        return
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=folder)
@@ -73,6 +94,13 @@ def write_json(path: str, value) -> None:
 
 
 def read_json(path: str):
+    if "://" in path:
+        files, target = _store(path)
+        source = files.open(target)
+        try:
+            return json.loads(bytes(source.readAllBytes()).decode("utf-8"))
+        finally:
+            source.close()
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
