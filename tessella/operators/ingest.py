@@ -17,7 +17,7 @@ def _required(df: DataFrame, column: str) -> DataFrame:
 
 
 def ranked_rows(rows: DataFrame) -> DataFrame:
-    """Exact copies removed (the last of them counts), normalized prompt and identity added.
+    """Exact copies removed (the first of them counts), normalized prompt and identity added.
 
     rows: original_split, prompt_id, prompt, image_path, rank, image_amount_in_total, ordinal
     and any other fields; the ordinal is the source order and takes no part in equality.

@@ -158,6 +158,16 @@ def complete_events(events: DataFrame, valid: DataFrame) -> DataFrame:
     return each.join(known, "image_id", "left").groupBy("event_id").agg((F.count("ok") == F.count("image_id")).alias("complete")).where("complete").select("event_id")
 
 
+def coverage(events: DataFrame, archive: DataFrame) -> DataFrame:
+    """One row: archive images that eligible events ask for, eligible events whose candidates the
+    archive has all, and eligible events."""
+    live = events.where("exclusion_reason is null")
+    done = complete_events(live, archive).agg(F.count("*").alias("complete_events"))
+    wanted = live.select(F.explode("candidate_ids").alias("image_id")).distinct()
+    known = archive.select("image_id").distinct().join(wanted, "image_id", "left_semi").agg(F.count("*").alias("covered_images"))
+    return known.join(F.broadcast(done)).join(F.broadcast(live.agg(F.count("*").alias("eligible_events"))))  # one row each
+
+
 def restrict_cohort(events: DataFrame, images: DataFrame, available: DataFrame) -> DataFrame:
     """Eligible events with a candidate outside the declared archive are excluded; splits and
     components stay.  Unknown ids are an error."""

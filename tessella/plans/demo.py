@@ -102,6 +102,39 @@ def ranked_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return images, kept(splits.sample_components(splits.assign_splits(events, images), 0))
 
 
+def broken_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked groups of five vectors; the group's number modulo 8 is its defect (0: none)."""
+    g, k, x = F.floor(F.col("vec_id") / 5).cast("bigint"), F.col("vec_id") % 5, F.col("vec_id").cast("string")
+    defect = g % 8
+    first = k == 0
+    path = F.when((defect == 1) & first, None).when((defect == 4) & (k == 1), (F.col("vec_id") - 1).cast("string")).when((defect == 7) & first, "shared").otherwise(x)
+    return table(spark, d, "embeddings").select(
+        F.lit("train").alias("original_split"),
+        g.cast("string").alias("prompt_id"),
+        F.concat(F.lit("prompt "), g.cast("string"), F.when((defect == 2) & (k == 2), " other").otherwise("")).alias("prompt"),
+        path.alias("image_path"),
+        F.when(defect == 6, 1.0).when((defect == 3) & first, 1.5).otherwise((1 + k).cast("double")).alias("rank"),
+        F.when(defect == 5, 6.0).otherwise(5.0).alias("image_amount_in_total"),
+        F.col("vec_id").alias("ordinal"),
+    )
+
+
+def broken_choices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(images, rankings) of four vectors an event; its number modulo 9 is its defect (0: none)."""
+    k, j, i = F.floor(F.col("vec_id") / 4).cast("bigint"), F.col("vec_id") % 4, F.col("vec_id")
+    defect = k % 9
+    e = table(spark, d, "embeddings")
+    prompt = F.concat(F.lit("p "), k.cast("string"))
+    images = e.select(i.cast("string").alias("image_uid"), F.when((defect == 6) & (j == 2), "another").otherwise(prompt).alias("prompt"), F.when((defect == 7) & (j == 2), "blur").alias("negative_prompt"), i.alias("ordinal"))
+    twice = e.where((defect == 8) & (j == 3)).select(i.cast("string").alias("image_uid"), F.lit("changed").alias("prompt"), F.lit(None).cast("string").alias("negative_prompt"), (i + 1_000_000).alias("ordinal"))
+    one = e.where(j == 0)
+    uid = lambda n: (F.col("vec_id") + n).cast("string")
+    best = F.when(defect == 1, "none").when(defect == 2, "999999999").otherwise(uid(0))
+    rankings = one.select(k.alias("ranking_id"), prompt.alias("prompt"), F.lit(7).alias("user_id"), best.alias("best_image_uid"), uid(0).alias("image_1_uid"), F.when(defect == 3, uid(0)).otherwise(uid(1)).alias("image_2_uid"), uid(2).alias("image_3_uid"), F.when(defect == 4, "missing").otherwise(uid(3)).alias("image_4_uid"), i.alias("ordinal"))
+    again = rankings.where(F.col("ranking_id") % 9 == 5).withColumns({"best_image_uid": F.col("image_3_uid"), "ordinal": F.col("ordinal") + 1})
+    return images.unionByName(twice), rankings.unionByName(again)
+
+
 def choice_image_rows(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("i")
     k = F.floor(i / 4)

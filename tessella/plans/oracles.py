@@ -159,6 +159,13 @@ ORACLES = {
     "telemetry_summary": "SELECT event_type AS device, count(*) AS samples, max(event_id % 100)::DOUBLE AS max_utilization, round(avg(event_id % 100), 6) AS mean_utilization, round(avg(event_id % 100) FILTER (event_id % 100 > 0), 6) AS active_mean_utilization, max(user_id * 7)::DOUBLE AS max_memory FROM events WHERE event_id % 11 <> 0 GROUP BY 1",
     "ranked_ingest": sql("SELECT event_id, split AS original_split, prompt_group_id, candidates, ranks, observed AS observed_candidates, exclusion_reason FROM re"),
     "choice_ingest": sql("SELECT event_id, prompt_group_id, 'choice:' || (4 * k) || ',choice:' || (4 * k + 1) || ',choice:' || (4 * k + 2) || ',choice:' || (4 * k + 3) AS candidates, 'choice:' || CASE WHEN w = 4 THEN 'none' ELSE (4 * k + w)::VARCHAR END AS winner_image_id, user_id::VARCHAR AS annotator_id, exclusion_reason, prompts_match, compatible AS negative_prompts_compatible FROM ce"),
+    "ranked_exclusions": """SELECT 'ranked:train:' || g AS event_id, CASE g % 8 WHEN 1 THEN 'missing_image_identity' WHEN 2 THEN 'inconsistent_group_prompt' WHEN 3 THEN 'invalid_rank_or_candidate_count' WHEN 4 THEN 'conflicting_duplicate_image_annotation'
+        WHEN 5 THEN 'incomplete_annotated_group' WHEN 6 THEN 'no_strict_rank_pairs' WHEN 7 THEN 'conflicting_image_prompt_metadata' END AS exclusion_reason FROM (SELECT DISTINCT vec_id // 5 AS g FROM embeddings)""",
+    "choice_exclusions": """SELECT 'choice:' || k AS event_id, CASE k % 9 WHEN 1 THEN 'invalid_or_none_selection' WHEN 2 THEN 'winner_not_a_candidate' WHEN 3 THEN 'invalid_candidate_set' WHEN 4 THEN 'missing_candidate_metadata' WHEN 5 THEN 'conflicting_duplicate_event'
+        WHEN 6 THEN 'candidate_prompt_mismatch' WHEN 7 THEN 'incompatible_or_partly_missing_negative_prompts' WHEN 8 THEN 'conflicting_image_metadata' END AS exclusion_reason FROM (SELECT DISTINCT vec_id // 4 AS k FROM embeddings)""",
+    "components_chain": """WITH RECURSIVE e AS (SELECT o_orderkey AS j, 'e' || lpad(o_orderkey::VARCHAR, 12, '0') AS event_id FROM orders),
+        reach(j, label) AS (SELECT j, event_id FROM e WHERE j % 10 = 0 OR j - 1 NOT IN (SELECT j FROM e) UNION ALL SELECT e.j, label FROM reach JOIN e ON e.j = reach.j + 1 AND e.j % 10 <> 0)
+        SELECT event_id, sha256(to_json(list(event_id ORDER BY event_id) OVER (PARTITION BY label ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) AS component_id FROM e JOIN reach USING (j)""",
     "exclusion_histogram": sql("SELECT exclusion_reason, count(*) AS n FROM ce WHERE exclusion_reason IS NOT NULL GROUP BY 1"),
     "candidate_count_dist": sql("SELECT observed AS observed_candidates, count(*) AS events, count(*) FILTER (d < observed) AS with_ties FROM re JOIN (SELECT g, count(DISTINCT rank) AS d FROM rr GROUP BY g) USING (g) GROUP BY 1"),
     "reused_images": sql("SELECT 4 * count(*) AS images, 4 * count(*) FILTER (n > 1) AS reused FROM (SELECT k, count(*) AS n FROM ce GROUP BY k)"),
@@ -226,8 +233,10 @@ ORACLES = {
     "distribution_summary": "SELECT event_type, count(v) AS known, count(*) - count(v) AS missing, round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75 FROM (SELECT event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS v FROM events) GROUP BY 1",
     "effect_spearman": "SELECT round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS rx, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS ry FROM part)",
     "event_strata": sql(
-        "SELECT stratum, count(*) AS events FROM (SELECT unnest(list_filter(CASE WHEN m AND d = 1 THEN ['same_model', 'generator:' || a] WHEN m THEN ['mixed_models'] ELSE []::VARCHAR[] END || CASE WHEN s THEN ['equal_aspect_ratio_event', 'equal_resolution_event'] ELSE []::VARCHAR[] END, lambda x: x IS NOT NULL)) AS stratum FROM cev JOIN b USING (k) WHERE exclusion_reason IS NULL AND analysis_split <> 'quarantine') GROUP BY 1",
-        "b AS (SELECT k, count(model_id) = 4 AS m, count(DISTINCT model_id) AS d, min(model_id) AS a, count(DISTINCT width) = 1 AS s FROM ci GROUP BY k)",
+        """SELECT stratum, count(*) AS events FROM (SELECT unnest(list_filter([CASE WHEN m AND g = 1 THEN 'same_model' END, CASE WHEN m AND g = 1 THEN 'generator:' || a END, CASE WHEN m AND g > 1 THEN 'mixed_models' END, CASE WHEN k % 4 <> 1 THEN 'equal_patch_count_event' END,
+        CASE WHEN k % 2 = 0 THEN 'equal_aspect_ratio_event' END, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN 'equal_resolution_event' END, CASE WHEN k % 7 <> 3 THEN 'category:c' || (k % 3) END], lambda x: x IS NOT NULL)) AS stratum
+        FROM cev JOIN b USING (k) WHERE exclusion_reason IS NULL AND analysis_split <> 'quarantine') GROUP BY 1""",
+        "b AS (SELECT k, count(model_id) = 4 AS m, count(DISTINCT model_id) AS g, min(model_id) AS a FROM ci GROUP BY k)",
     ),
     "confounder_distributions": sql("SELECT coalesce(model_id, 'unavailable') AS model_id, count(*) AS images, min(width) AS min_width, max(width) AS max_width FROM ci WHERE k IN (SELECT k FROM cc) GROUP BY 1"),
     "annotator_audit": sql("SELECT count(*) AS annotators, count(*) FILTER (n > 1) AS repeated, coalesce(max(n), 0) AS most FROM (SELECT user_id, count(*) AS n FROM cev WHERE exclusion_reason IS NULL AND analysis_split <> 'quarantine' GROUP BY 1)"),

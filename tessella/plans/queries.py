@@ -12,6 +12,7 @@ from tessella.operators import graph, ingest, pairs, scoring, sensitivity, split
 from tessella.operators import statistics as st
 from tessella.plans import demo
 from tessella.sources import io
+from tessella.sources.scratch import Scratch
 
 TOP_K, RESAMPLES, SEED = 10, 2000, 42
 QUERIES: dict = {}
@@ -119,18 +120,19 @@ def missingness_audit(spark, d):
 # --- sources --------------------------------------------------------------------------------
 @query
 def split_union_scan(spark, d):
+    """A file per split, written and read back as one table."""
     t = demo.table(spark, d, "conversations")
-    parts = {s: t.where(F.col("conv_id") % 3 == k).withColumn("original_split", F.lit(s)) for k, s in enumerate(("train", "validation", "test"))}
-    out = parts["train"].unionByName(parts["validation"]).unionByName(parts["test"])
-    return out.groupBy("original_split").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
+    root = Scratch(spark, "splits").root
+    paths = {s: f"{root}/{s}.parquet" for s in ("train", "validation", "test")}
+    for k, path in enumerate(paths.values()):
+        t.where(F.col("conv_id") % 3 == k).write.parquet(path)
+    return io.union_splits(spark, paths).groupBy("original_split").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
 
 
 @query
 def uid_shard_scan(spark, d):
     """Column-pruned: where each candidate uid occurs (four columns to rows)."""
-    rows = demo.choice_rows(spark, d).select("ranking_id", *[f"image_{k}_uid" for k in range(1, 5)])
-    long = rows.unpivot(["ranking_id"], [f"image_{k}_uid" for k in range(1, 5)], "slot", "uid")
-    return long.groupBy("uid").agg(F.count("*").alias("n"), F.min("ranking_id").alias("first_ranking"))
+    return io.uid_occurrences(demo.choice_rows(spark, d), "ranking_id", [f"image_{k}_uid" for k in range(1, 5)]).withColumnRenamed("first_row", "first_ranking")
 
 
 @query
@@ -138,10 +140,7 @@ def coverage_audit(spark, d):
     """Archive of images with i % 3 <> 0: known overlap and complete events."""
     images, events = demo.choice(spark, d)
     archive = images.where("cast(image_uid as bigint) % 3 <> 0 or cast(image_uid as bigint) < 40").select("image_id")
-    live = events.where("exclusion_reason is null")
-    done = splits.complete_events(live, archive).agg(F.count("*").alias("complete_events"))
-    known = archive.join(live.select(F.explode("candidate_ids").alias("image_id")).distinct(), "image_id", "left_semi").agg(F.count("*").alias("covered_images"))
-    return known.join(F.broadcast(done)).join(F.broadcast(live.agg(F.count("*").alias("eligible_events"))))
+    return splits.coverage(events, archive)
 
 
 @query
@@ -164,6 +163,20 @@ def choice_ingest(spark, d):
     return e.select("event_id", "prompt_group_id", F.array_join("candidate_ids", ",").alias("candidates"), "winner_image_id", "annotator_id", "exclusion_reason", "prompts_match", "negative_prompts_compatible")
 
 
+@query
+def ranked_exclusions(spark, d):
+    """Groups of five with one defect each, by number: every reason of ranked groups."""
+    images, events = ingest.ranked_events(demo.broken_groups(spark, d))
+    return events.select("event_id", "exclusion_reason")
+
+
+@query
+def choice_exclusions(spark, d):
+    """Events with one defect each, by number: every reason of choice events."""
+    images, rankings = demo.broken_choices(spark, d)
+    return ingest.choice_events(rankings, ingest.choice_images(images)[0]).select("event_id", "exclusion_reason")
+
+
 @query
 def exclusion_histogram(spark, d):
     return ingest.exclusion_histogram(demo.choice(spark, d)[1])
@@ -179,6 +192,18 @@ def reused_images(spark, d):
     return ingest.reused_images(demo.choice(spark, d)[1])
 
 
+@query
+def components_chain(spark, d):
+    """Events that share nothing but an image with the next: ten in a row are one component."""
+    e = demo.table(spark, d, "orders").select(F.col("o_orderkey").alias("j"))
+    name = F.concat(F.lit("e"), F.lpad(F.col("j").cast("string"), 12, "0"))
+    image = lambda k: F.concat(F.lit("i"), k.cast("string"))
+    last = F.col("j") % 10 == 9
+    events = e.select(name.alias("event_id"), F.sha2(name, 256).alias("prompt_group_id"), F.when(last, F.array(image(F.col("j")))).otherwise(F.array(image(F.col("j")), image(F.col("j") + 1))).alias("candidate_ids"), "j")
+    images = events.select(F.explode("candidate_ids").alias("image_id")).distinct()
+    return graph.components(events, images)
+
+
 # --- components, splits, cohorts ------------------------------------------------------------
 @query
 def components_base(spark, d):
@@ -437,7 +462,18 @@ def event_strata(spark, d):
     images, events = demo.choice_split(spark, d)
     c = pairs.construct_comparisons(events)
     live = events.join(c.select("event_id").distinct(), "event_id", "left_semi")
-    return sensitivity.event_strata(live, images.withColumn("height", F.lit(256)).withColumn("aspect_ratio", F.col("width") / 256.0)).groupBy("stratum").agg(F.count("*").alias("events"))
+    i = F.col("image_uid").cast("bigint")
+    k = F.floor(i / 4)
+    size = (1 + F.when(k % 5 == 0, i % 2).otherwise(0)).cast("int")
+    images = images.withColumns(
+        {
+            "width": 256 * size,
+            "height": F.when(k % 2 == 0, 128 * size).otherwise((128 + i % 3).cast("int")),
+            "valid_patches": (3 + F.when(k % 4 == 1, i % 2).otherwise(0)).cast("int"),
+            "classification": F.when(k % 7 != 3, F.concat(F.lit("c"), (k % 3).cast("string"))),
+        }
+    ).withColumn("aspect_ratio", F.col("width") / F.col("height"))
+    return sensitivity.event_strata(live, images).groupBy("stratum").agg(F.count("*").alias("events"))
 
 
 @query

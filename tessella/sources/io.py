@@ -138,6 +138,13 @@ def union_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def uid_occurrences(rows: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """Per uid of several columns: how often it occurs and the first row that has it.  Only these
+    columns are read."""
+    long = rows.select(row_id, *columns).unpivot([row_id], columns, "slot", "uid")
+    return long.groupBy("uid").agg(F.count("*").alias("n"), F.min(row_id).alias("first_row"))
+
+
 def artifact_index(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes and SHA-256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
