@@ -14,6 +14,8 @@ costs one row per map task.  The raking itself works on the cell table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,11 @@ DIMENSIONS = ("source", "lang", "topic")
 #: having the cells' own support, can always be met.
 TEMPER = 0.6
 #: Raking ends when no marginal misses its target by more than TOLERANCE; targets missed after
-#: all passes are an error.
-ROUNDS_PER_PASS, MAX_PASSES, TOLERANCE = 6, 200, 1e-7
+#: all rounds are an error.
+MAX_ROUNDS, TOLERANCE = 1200, 1e-7
 #: The reference rate is the largest among cells with at least this share of all tokens.
 MIN_CELL_SHARE = 0.001
-#: Cells up to this number are raked in one task and broadcast; beyond, by shuffles and joins.
+#: Cells up to this number are raked as arrays of one row and broadcast; beyond, by shuffles and joins.
 MAX_SMALL_CELLS = 15_000
 SEED = 20
 #: Marker strings of the topics; a text's topic is the marker it has most.
@@ -74,28 +76,63 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace)
     if not small(cells, MAX_SMALL_CELLS):
         return _rake_many(cells, targets, ws)
     cells = cells.coalesce(1)  # at most MAX_SMALL_CELLS rows
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     for d in DIMENSIONS:
         if targets and d in targets:
             cells = _with_targets(cells, targets[d], d)
         else:
             part = F.sum(_tempered()).over
             cells = cells.withColumn(f"t_{d}", part(Window.partitionBy(d)) / part(Window.partitionBy(F.lit(1))))
-    current = ws.write(cells.coalesce(1), "cells").withColumn("w", F.col("tokens") / total)
-    for k in range(MAX_PASSES):
-        current = current.coalesce(1)
-        for _ in range(ROUNDS_PER_PASS):
-            for d in DIMENSIONS:
-                over = F.sum("w").over(Window.partitionBy(d))
-                current = current.withColumn("w", F.when(over > 0, F.col("w") * F.col(f"t_{d}") / over).otherwise(0.0))
-        current = ws.write(current, f"rake_{k}")
-        gaps = [F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"t_{d}")) for d in DIMENSIONS]
-        worst = current.coalesce(1).select(F.greatest(*gaps).alias("g")).agg(F.max("g")).first()[0]
-        if k:
-            ws.drop(f"rake_{k - 1}")
-        if (worst or 0.0) <= TOLERANCE:
-            return current.select(*DIMENSIONS, "tokens", "w")
-    raise ValueError(f"mixing targets are missed by {worst} after {MAX_PASSES * ROUNDS_PER_PASS} rounds")
+    numbers = {f"v_{d}": F.dense_rank().over(Window.orderBy(d)) - 1 for d in DIMENSIONS}
+    cells = cells.withColumns({"cell": F.row_number().over(Window.orderBy(*DIMENSIONS)) - 1, **numbers})
+    cells = ws.write(cells.coalesce(1), "cells")
+    fit = ws.write(_fitted_row(cells), "fit")
+    gap = fit.select("fit.gap").first()[0]
+    if gap > TOLERANCE:
+        raise ValueError(f"mixing targets are missed by {gap} after {MAX_ROUNDS} rounds")
+    weights = fit.select(F.posexplode("fit.w").alias("cell", "w"))
+    return cells.join(weights, "cell").select(*DIMENSIONS, "tokens", "w")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fitted_row(cells: DataFrame) -> DataFrame:
+    """One row, fit (w, gap, rounds): the weights of the numbered cells after raking.
+
+    The row holds the cells and, per dimension, each value's cells and target as arrays, so
+    that a round costs a few array passes and all rounds are one projection.
+    """
+    long = cells.select(F.lit(-1).alias("part"), F.col("cell").alias("k"), F.array(*[f"v_{d}" for d in DIMENSIONS]).alias("at"), F.col("tokens").cast("double").alias("x"))
+    for n, d in enumerate(DIMENSIONS):
+        long = long.unionByName(cells.groupBy(F.col(f"v_{d}").alias("k")).agg(F.lit(n).alias("part"), F.sort_array(F.collect_list("cell")).alias("at"), F.max(f"t_{d}").alias("x")))
+    names = {-1: "cells", **{n: f"p{n}" for n in range(len(DIMENSIONS))}}
+    one = long.agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == n, F.struct("k", "at", "x")))).alias(c) for n, c in names.items()])
+    one = one.withColumn("total", F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["x"]))
+
+    def sums(n: int, w: Column) -> Column:
+        return F.transform(f"p{n}", lambda g: F.aggregate(g["at"], F.lit(0.0), lambda s, i: s + F.get(w, i)))
+
+    def scaled(n: int, w: Column, over: Column) -> Column:
+        factors = F.zip_with(f"p{n}", over, lambda g, s: F.when(s > 0, g["x"] / s).otherwise(0.0))
+        return _let(factors, lambda f: F.zip_with(w, "cells", lambda x, c: x * F.get(f, c["at"][n])))
+
+    def missed(n: int, over: Column) -> Column:
+        return F.coalesce(F.array_max(F.zip_with(f"p{n}", over, lambda g, s: F.abs(g["x"] - s))), F.lit(0.0))
+
+    def state(w: Column, gap: Column, rounds: Column) -> Column:
+        return F.struct(w.alias("w"), gap.alias("gap"), rounds.alias("rounds"))
+
+    def dimension(n: int, w: Column, gap: Column, rounds: Column) -> Column:
+        if n == len(DIMENSIONS):
+            return state(w, gap, rounds + 1)
+        return _let(sums(n, w), lambda over: _let(scaled(n, w, over), lambda new: dimension(n + 1, new, F.greatest(gap, missed(n, over)), rounds)))
+
+    start = state(F.transform("cells", lambda c: c["x"] / F.col("total")), F.lit(float("inf")), F.lit(0))
+    # the gap is taken before the round's changes, which do not widen it
+    fit = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_ROUNDS)), start, lambda s, _: F.when(s["gap"] <= TOLERANCE, s).otherwise(dimension(0, s["w"], F.lit(0.0), s["rounds"])))
+    return one.select(fit.alias("fit"))
 
 
 def _tempered() -> Column:
@@ -118,7 +155,7 @@ def _rake_many(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Works
             cells = cells.join(part, d)
     current = ws.write(cells.withColumn("w", F.col("tokens") / F.lit(float(sums["all"]))), "many_0")
     worst, step = 0.0, 0
-    for _ in range(MAX_PASSES * ROUNDS_PER_PASS):
+    for _ in range(MAX_ROUNDS):
         worst = 0.0
         for d in DIMENSIONS:
             over = ws.write(current.groupBy(d).agg(F.sum("w").alias("over"), F.max(f"t_{d}").alias("t")), f"over_{step}")
@@ -131,7 +168,7 @@ def _rake_many(cells: DataFrame, targets: dict[str, DataFrame] | None, ws: Works
             current, step = following, step + 1
         if worst <= TOLERANCE:  # before this round's changes, so after them too
             return current.select(*DIMENSIONS, "tokens", "w")
-    raise ValueError(f"mixing targets are missed by {worst} after {MAX_PASSES * ROUNDS_PER_PASS} rounds")
+    raise ValueError(f"mixing targets are missed by {worst} after {MAX_ROUNDS} rounds")
 
 
 def cell_rates(docs_measured: DataFrame, targets: dict[str, DataFrame] | None, ws: Workspace) -> DataFrame:

@@ -530,7 +530,7 @@ def test_raking_ends_at_its_targets(spark, monkeypatch):
     for d, t in want.items():
         got = rows.groupby(d).w.sum()
         assert all(abs(got[k] - v) < 1e-6 for k, v in t.items())
-    monkeypatch.setattr(mixing, "MAX_PASSES", 2)
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 12)
     with pytest.raises(ValueError, match="missed"):
         mixing.rake(cells.where("lang = 'a'"), targets, ws)
     ws.close()
