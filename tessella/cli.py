@@ -15,7 +15,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("verb", choices=("inspect", "prepare", "score", "analyze", "compare", "report", "run", "fixture"))
     p.add_argument("--output", required=True)
     p.add_argument("--dataset", choices=("ranked", "choice"), default="ranked")
-    for name in ("metadata", "image-metadata", "available-image-ids", "patches", "concepts", "left", "right"):
+    for name in ("metadata", "image-metadata", "available-image-ids", "patches", "concepts", "reuse-scores", "left", "right"):
         p.add_argument(f"--{name}")
     p.add_argument("--group-limit", type=int, default=500)
     p.add_argument("--seed", type=int, default=42)
@@ -43,9 +43,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.verb in ("prepare", "run"):
         workflow.prepare(spark, a.output, a.dataset, a.metadata, a.image_metadata, a.group_limit, a.seed, a.comparison_mode, a.cohort, a.split_policy, a.available_image_ids, a.resume)
     if a.verb in ("score", "run"):
-        workflow.score(spark, a.output, a.patches, a.concepts)
+        workflow.score(spark, a.output, a.patches, a.concepts, a.resume, a.reuse_scores)
     if a.verb in ("analyze", "run"):
-        workflow.analyze(spark, a.output, None, a.top_k, a.bootstrap, a.tie_tolerance, a.seed, None, a.rng, a.diversity_correlation)
+        workflow.analyze_with_sensitivities(spark, a.output, top_k=a.top_k, bootstrap=a.bootstrap, tolerance=a.tie_tolerance, seed=a.seed, rng=a.rng, diversity=a.diversity_correlation)
     if a.verb in ("report", "run"):
         workflow.report(f"{a.output}/analysis")
     if a.verb == "compare":

@@ -168,6 +168,26 @@ def max_patch_scores(patches: DataFrame, concepts: DataFrame) -> DataFrame:
     return score_blocks(patches, concepts).long()
 
 
+def score_rows(index: DataFrame, scores: ScoreBlocks) -> DataFrame:
+    """(score_row, scores, error) for a store: the blocks of a row's image as one array, or an
+    error where the image has no patches or none that is valid.  index: score_row, image_id."""
+    whole = scores.rows.groupBy("image_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block_id", "scores"))), lambda x: x["scores"])).cast("array<float>").alias("scores"))
+    rows = index.select("score_row", "image_id").join(whole, "image_id", "left")
+    bad = F.col("scores").isNull() | F.exists("scores", lambda x: x.isNull())
+    return rows.select("score_row", F.when(~bad, F.col("scores")).alias("scores"), F.when(bad, F.lit("no valid patch")).alias("error"))
+
+
+def with_hashes(images: DataFrame) -> DataFrame:
+    """(image_id, pixel_hash, content_hash); a hash that images lack is null."""
+    return images.select("image_id", *[(F.col(c) if c in images.columns else F.lit(None)).cast("string").alias(c) for c in ("pixel_hash", "content_hash")])
+
+
+def table_digest(df: DataFrame) -> str:
+    """A digest of a table's rows in any order: their number and the sum of their hashes."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("h")).first()
+    return f"{row.n}:{row.h}"
+
+
 def encode(images: DataFrame, encoder: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Runs a user's encoder over Arrow batches; it returns a row an image with an error text
     where it failed, so no image is lost."""
@@ -231,15 +251,26 @@ class ScoreStore:
             write_json(path, {"fingerprint": mark, "settings": settings})
         return self
 
+    def settings(self) -> dict:
+        return read_json(f"{self.root}/fingerprint.json")["settings"]
+
     def missing(self, index: DataFrame) -> DataFrame:
-        return index.join(self.rows(), "score_row", "left_anti") if exists(self.spark, f"{self.root}/scores") else index
+        """Rows of the index that were never committed."""
+        return index.join(self.rows(), "score_row", "left_anti")
+
+    def pending(self, index: DataFrame) -> DataFrame:
+        """Rows of the index without a valid row: missing ones, and failed ones to try again."""
+        return index.join(self.valid(strict=False), "score_row", "left_anti")
 
     def append(self, rows: DataFrame) -> None:
         """rows: score_row, scores array<float>, error."""
         rows.select("score_row", "scores", "error").write.mode("append").parquet(f"{self.root}/scores")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("score_row bigint, scores array<float>, error string").parquet(f"{self.root}/scores")
+        schema = "score_row bigint, scores array<float>, error string"
+        if not exists(self.spark, f"{self.root}/scores"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/scores")
 
     def valid(self, strict: bool = True) -> DataFrame:
         """Rows without error; a non-finite cell is an error for readers and makes the row

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.statistics import pearson
+from tessella.operators.statistics import distribution, pearson
+
+#: Numbers of an image whose distributions the confounder audit shows.
+CONFOUNDERS = ("valid_patches", "width", "height", "aspect_ratio", "gs", "steps")
 
 
 def event_strata(events: DataFrame, images: DataFrame) -> DataFrame:
@@ -61,6 +64,14 @@ def active_images(comparisons: DataFrame, events: DataFrame, images: DataFrame)
     return images.join(live.select(F.explode("candidate_ids").alias("image_id")).distinct(), "image_id", "left_semi")
 
 
+def confounder_audit(comparisons: DataFrame, events: DataFrame, images: DataFrame) -> DataFrame:
+    """(field, known, missing, min, max, q25, q50, q75) of CONFOUNDERS over the images of events
+    that have comparisons; a column that images lack is missing throughout."""
+    live = active_images(comparisons, events, images)
+    cells = live.select(*[(F.col(c) if c in images.columns else F.lit(None)).cast("double").alias(c) for c in CONFOUNDERS])
+    return distribution(cells.unpivot([], list(CONFOUNDERS), "field", "value"), "value", ("field",))
+
+
 def annotator_counts(comparisons: DataFrame, events: DataFrame) -> DataFrame:
     live = events.join(comparisons.select("event_id").distinct(), "event_id", "left_semi").where("annotator_id is not null")
     n = live.groupBy("annotator_id").agg(F.count("*").alias("n"))

@@ -239,12 +239,25 @@ ORACLES = {
         "b AS (SELECT k, count(model_id) = 4 AS m, count(DISTINCT model_id) AS g, min(model_id) AS a FROM ci GROUP BY k)",
     ),
     "confounder_distributions": sql("SELECT coalesce(model_id, 'unavailable') AS model_id, count(*) AS images, min(width) AS min_width, max(width) AS max_width FROM ci WHERE k IN (SELECT k FROM cc) GROUP BY 1"),
+    "confounder_audit": sql("""SELECT field, count(v) AS known, count(*) - count(v) AS missing, round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75 FROM (
+        SELECT unnest(['valid_patches', 'width', 'height', 'aspect_ratio', 'gs', 'steps']) AS field, unnest([1 + i % 9, width, height, width / height, CASE WHEN i % 3 <> 0 THEN i % 5 + 0.5 END, CASE WHEN i % 2 = 0 THEN 20 + i % 7 END]::DOUBLE[]) AS v
+        FROM (SELECT i, width, CASE WHEN i % 13 <> 0 THEN 128 + 32 * (i % 4) END AS height FROM ci WHERE k IN (SELECT k FROM cc))) GROUP BY 1"""),
     "annotator_audit": sql("SELECT count(*) AS annotators, count(*) FILTER (n > 1) AS repeated, coalesce(max(n), 0) AS most FROM (SELECT user_id, count(*) AS n FROM cev WHERE exclusion_reason IS NULL AND analysis_split <> 'quarantine' GROUP BY 1)"),
     "generator_pair_strata": sql("SELECT stratum, count(*) AS pairs, round(sum(1.0 / n), 6) AS weight FROM gstrata GROUP BY 1"),
     "generator_sensitivity": sql("""SELECT stratum, concept_id, round(avg(e), 6) AS effect, count(*) AS prompts FROM (SELECT stratum, concept_id, prompt_group_id, avg(e) AS e FROM (
         SELECT stratum, a.concept_id, prompt_group_id, event_id, avg(a.score) - avg(b.score) AS e FROM gstrata g JOIN scores a ON a.i = w JOIN scores b ON b.i = l AND a.concept_id = b.concept_id GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""),
     "activation_corr": sql("""SELECT x.concept_id, y.concept_id AS kept_id, round(corr(a.score, b.score), 6) AS correlation FROM frozen x JOIN frozen y ON x.side = y.side AND y.discovery_rank < x.discovery_rank
         JOIN scores a ON a.concept_id = x.concept_id JOIN scores b ON b.concept_id = y.concept_id AND a.i = b.i WHERE a.i IN (SELECT unnest([w, l]) FROM rc WHERE analysis_split = 'discovery') GROUP BY 1, 2"""),
+    "diversity_filter": sql(
+        "SELECT concept_id, side, discovery_rank, parent IS NULL AS retained, parent AS parent_concept_id FROM walk WHERE concept_id IS NOT NULL",
+        """near AS (SELECT concept_id, list(kept_id) AS ids FROM (SELECT x.concept_id, y.concept_id AS kept_id, corr(a.score, b.score) AS r FROM frozen x JOIN frozen y ON x.side = y.side AND y.discovery_rank < x.discovery_rank
+             JOIN scores a ON a.concept_id = x.concept_id JOIN scores b ON b.concept_id = y.concept_id AND a.i = b.i WHERE a.i IN (SELECT unnest([w, l]) FROM rc WHERE analysis_split = 'discovery') GROUP BY 1, 2) WHERE r >= 0.1 GROUP BY 1),
+           listed AS (SELECT frozen.*, coalesce(ids, []::INT[]) AS ids FROM frozen LEFT JOIN near USING (concept_id)),
+           walk(side, discovery_rank, kept, concept_id, parent) AS (SELECT DISTINCT side, 0::INT, []::INT[], NULL::INT, NULL::INT FROM frozen
+             UNION ALL SELECT l.side, l.discovery_rank, CASE WHEN list_has_any(kept, ids) THEN kept ELSE list_append(kept, l.concept_id) END, l.concept_id, list_filter(kept, lambda k: list_contains(ids, k))[1]
+             FROM walk w JOIN listed l ON l.side = w.side AND l.discovery_rank = w.discovery_rank + 1)""",
+        True,
+    ),
     "gallery_selection": sql(
         """SELECT concept_id, selection, place::INT AS place, prompt_group_id, event_id, preferred_image_id, rejected_image_id, round(d, 6) AS difference FROM (
         SELECT *, row_number() OVER (PARTITION BY concept_id, selection ORDER BY o, h) AS place FROM (

@@ -483,6 +483,16 @@ def confounder_distributions(spark, d):
     return live.groupBy(F.coalesce("model_id", F.lit("unavailable")).alias("model_id")).agg(F.count("*").alias("images"), F.min("width").alias("min_width"), F.max("width").alias("max_width"))
 
 
+@query
+def confounder_audit(spark, d):
+    """Distributions of six numbers of the images, some of them missing."""
+    images, events = demo.choice_split(spark, d)
+    i = F.col("image_uid").cast("bigint")
+    images = images.withColumns({"height": F.when(i % 13 != 0, 128 + 32 * (i % 4)), "valid_patches": 1 + i % 9, "gs": F.when(i % 3 != 0, i % 5 + 0.5), "steps": F.when(i % 2 == 0, 20 + i % 7)})
+    images = images.withColumn("aspect_ratio", F.col("width") / F.col("height"))
+    return r6(sensitivity.confounder_audit(pairs.construct_comparisons(events), events, images), "min", "max", "q25", "q50", "q75")
+
+
 @query
 def annotator_audit(spark, d):
     events = demo.choice_split(spark, d)[1]

@@ -43,12 +43,40 @@ def prepare(spark: SparkSession, root: str, dataset: str, metadata: str, image_m
     return audit
 
 
-def score(spark: SparkSession, root: str, patches: str, concepts: str) -> None:
-    """Scores the prepared images against the bank into root/scores."""
-    bank = io.read_rows(spark, concepts)
-    scoring.bank_audit(bank).collect()
-    scoring.max_patch_scores(io.read_rows(spark, patches), bank).write.mode("errorifexists").parquet(f"{root}/scores")
-    bank.select("concept_id", "concept").write.mode("errorifexists").parquet(f"{root}/concepts")
+def score(spark: SparkSession, root: str, patches: str, concepts: str, resume: bool = False, reuse: str | None = None) -> dict:
+    """Scores the prepared images against the bank into root/store, and from it root/scores.
+
+    Images of one content are scored once.  resume goes on with a store of the same bank and
+    images: rows without error and with finite cells stay, all others are made again.  reuse
+    names another run whose store was made from the same bank; its rows of equal content are
+    taken over.  An image without a valid patch gets a row with an error.
+    """
+    bank, images = io.read_rows(spark, concepts), spark.read.parquet(f"{root}/images")
+    audit = scoring.bank_audit(bank).first()
+    settings = dict(bank=scoring.table_digest(bank.select("concept_id", "concept", "embedding")), width=audit.max_dim)
+    contents = scoring.with_hashes(images)
+    index = scoring.row_index(contents)
+    store = scoring.ScoreStore(spark, f"{root}/store").open(dict(settings, images=scoring.table_digest(contents)), resume)
+    taken = 0
+    if reuse:
+        other = scoring.ScoreStore(spark, f"{reuse}/store")
+        theirs = other.settings()
+        if any(theirs[k] != v for k, v in settings.items()):
+            raise ValueError("the other store was made from another bank")
+        source = scoring.with_hashes(spark.read.parquet(f"{reuse}/images"))
+        source = source.join(scoring.row_index(source).select("image_id", "score_row"), "image_id")
+        done = other.valid()
+        hits = scoring.score_reuse(store.pending(contents.join(index.select("image_id", "score_row"), "image_id")), source.join(done.select("score_row"), "score_row", "left_semi"))
+        before = store.valid(strict=False).count()
+        store.append(hits.join(done.withColumnRenamed("score_row", "source_row"), "source_row"))
+        taken = store.valid(strict=False).count() - before
+    todo = store.pending(index).groupBy("score_row").agg(F.min("image_id").alias("image_id"))
+    live = io.read_rows(spark, patches).join(todo, "image_id", "left_semi")
+    store.append(scoring.score_rows(todo, scoring.score_blocks(live, bank)))
+    rows = store.valid().join(index.select("image_id", "score_row"), "score_row")
+    rows.select("image_id", F.posexplode("scores").alias("concept_id", "score")).write.mode("overwrite").parquet(f"{root}/scores")
+    bank.select("concept_id", "concept").write.mode("overwrite").parquet(f"{root}/concepts")
+    return dict(rows=store.valid().count(), reused=taken, failed=store.pending(index).select("score_row").distinct().count())
 
 
 def freeze(path: str, candidates: list[dict], settings: dict) -> None:
@@ -84,7 +112,8 @@ def analyze(spark: SparkSession, root: str, out: str | None = None, top_k: int =
 
     wide = means.groupBy("concept_id").pivot("analysis_split", list(splits.SPLITS)).agg(*[F.first(m).alias(m) for m in st.METRICS])
     io.write_csv(concepts.join(wide, "concept_id").orderBy("concept_id"), f"{out}/all_concepts", mode="overwrite")
-    summary: dict = dict(counts={r.analysis_split: r.asDict() for r in st.counts(c, ("analysis_split",)).collect()}, tie_tolerance=tolerance, mode=mode, seed=seed, top_k=top_k)
+    used = c.select("construction_mode").first()
+    summary: dict = dict(construction=used and used.construction_mode, counts={r.analysis_split: r.asDict() for r in st.counts(c, ("analysis_split",)).collect()}, tie_tolerance=tolerance, mode=mode, seed=seed, top_k=top_k)
     if frozen:
         f = spark.createDataFrame(found)
         test = prompts.where("analysis_split = 'test'").drop("analysis_split")
@@ -101,6 +130,8 @@ def analyze(spark: SparkSession, root: str, out: str | None = None, top_k: int =
         if "model_id" in images.columns:
             g = st.prompt_values(sensitivity.generator_pair_strata(tc, images), live, tolerance, ("stratum",))
             summary["generators"] = [r.asDict() for r in st.evaluate_frozen(f, g, bootstrap, seed, rng, ("stratum",)).collect()]
+            g = st.prompt_values(sensitivity.generator_pair_strata(tc, images), joint, tolerance, ("stratum",))
+            summary["generators_joint"] = [r.asDict() for r in st.evaluate_frozen(st.joint_candidate(f), g, bootstrap, seed, rng, ("stratum",)).collect()]
         if events.where("annotator_id is not null").limit(1).count():
             tied = splits.with_components(events.drop("dependency_cluster_id"), images, True).select("event_id", "dependency_cluster_id")
             a = st.prompt_values(tc.drop("dependency_cluster_id").join(tied, "event_id"), joint, tolerance)
@@ -108,10 +139,38 @@ def analyze(spark: SparkSession, root: str, out: str | None = None, top_k: int =
         sensitivity.gallery_selection(tc, live, f, seed=seed).write.mode("overwrite").parquet(f"{out}/gallery")
     else:
         summary["top_concepts"], summary["joint"] = [], []
+    audit = {r.field: r.asDict() for r in sensitivity.confounder_audit(c, events, images).collect()}
+    model = F.coalesce("model_id", F.lit("unavailable")) if "model_id" in images.columns else F.lit("unavailable")
+    models = sensitivity.active_images(c, events, images).groupBy(model.alias("m")).agg(F.count("*").alias("n"))
+    io.write_json(f"{out}/confounder_audit.json", dict(distributions=audit, annotators=sensitivity.annotator_counts(c, events).first().asDict(), generation_models={r.m: r.n for r in models.collect()}))
     io.write_json(f"{out}/analysis_summary.json", summary)
     return summary
 
 
+def analyze_with_sensitivities(spark: SparkSession, root: str, out: str | None = None, **settings) -> dict:
+    """analyze, and for ranked data the same over the other constructions, below out/sensitivity."""
+    out = out or f"{root}/analysis"
+    summary = analyze(spark, root, out, **settings)
+    if io.read_json(f"{root}/dataset_audit.json")["dataset"] == "ranked":
+        for mode in ingest.MODES:
+            if mode != summary["construction"]:
+                analyze(spark, root, f"{out}/sensitivity/{mode}", **{**settings, "mode": mode})
+    return summary
+
+
+def discrimination_summary(out: str) -> list[dict]:
+    """The joint concept's concordance, interval and counts per construction, as rows and CSV."""
+    spark, rows = SparkSession.active(), []
+    for folder in (out, *(f"{out}/sensitivity/{m}" for m in ingest.MODES)):
+        if io.exists(spark, f"{folder}/analysis_summary.json"):
+            s = io.read_json(f"{folder}/analysis_summary.json")
+            n = s["counts"].get("test", {})
+            rows += [dict(construction=s["construction"], paired_concordance=r["raw_concordance"], ci_low=r["concordance_ci_low"], ci_high=r["concordance_ci_high"], signed_effect=r["heldout_effect"], prompts=r["prompts"], components=n.get("components"), comparisons=n.get("comparisons")) for r in s["joint"]]
+    kinds = "construction string, paired_concordance double, ci_low double, ci_high double, signed_effect double, prompts long, components long, comparisons long"
+    io.write_csv(spark.createDataFrame(rows, kinds).coalesce(1), f"{out}/discrimination_summary", mode="overwrite")
+    return rows
+
+
 def compare(spark: SparkSession, left: str, right: str, out: str, bootstrap: int = 2000, seed: int = 42, rng: str = "sha") -> dict:
     """Agreement of two analyses and transfer of each frozen list to the other's test data."""
     data = {}
@@ -167,6 +226,7 @@ def report(out: str) -> str:
     table = "\n".join(f"{latex(r['concept'])} & {r['side']} & {number(r['heldout_effect'])} & {number(r['direction_adjusted_concordance'])} \\\\" for r in top)
     io.atomic_text(f"{out}/report.md", text)
     io.atomic_text(f"{out}/results_table.tex", "\\begin{tabular}{llrr}\n" + table + "\n\\end{tabular}\n")
+    discrimination_summary(out)
     io.write_json(f"{out}/replication_summary.json", {side: dict(replicated=sum(r["direction"] * r["heldout_effect"] > 0 for r in top if r["side"] == side), candidates=sum(r["side"] == side for r in top)) for side in ("preferred", "rejected")})
     return text
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tessella import cli
 from tessella.plans import workflow
 from tessella.sources import io
 from tessella.streaming import increments
@@ -49,6 +50,65 @@ def test_freeze(spark, runs):
         workflow.analyze(spark, path, top_k=1, bootstrap=20)
 
 
+def test_other_constructions_and_audit(spark, runs, tmp_path):
+    path = runs["ranked"][0]
+    workflow.analyze_with_sensitivities(spark, path, str(tmp_path), bootstrap=20)
+    rows = {r["construction"]: r for r in workflow.discrimination_summary(str(tmp_path))}
+    assert rows.keys() == {"all_strict_pairs", "best_vs_rest", "best_vs_worst"}
+    assert all(abs(r["paired_concordance"] - 1) < 1e-9 and r["prompts"] == r["components"] == 3 for r in rows.values())
+    assert [rows[m]["comparisons"] for m in ("all_strict_pairs", "best_vs_rest", "best_vs_worst")] == [18, 9, 3]
+    audit = io.read_json(f"{path}/analysis/confounder_audit.json")
+    assert audit["distributions"]["gs"]["missing"] == 80 and audit["generation_models"] == {"unavailable": 80}
+    choice = io.read_json(f"{runs['choice'][0]}/analysis/confounder_audit.json")
+    assert choice["annotators"]["annotators"] == 3 and choice["generation_models"] == {"synthetic-generator": 80}
+
+
+def test_score_resume_and_reuse(spark, tmp_path):
+    """A store goes on where it stopped, heals failed rows and takes rows of equal content."""
+    roots = [str(tmp_path / n) for n in ("a", "b")]
+    bank = spark.createDataFrame([(0, "x", [2.0, 0.0]), (1, "y", [0.0, 1.0])], "concept_id int, concept string, embedding array<double>")
+    bank.write.parquet(f"{tmp_path}/bank.parquet")
+    images = [(f"i{k}", None, "same" if k < 2 else f"h{k}") for k in range(4)]
+    for root in roots:
+        spark.createDataFrame(images, "image_id string, pixel_hash string, content_hash string").write.parquet(f"{root}/images")
+    kind = "image_id string, patch_id int, valid boolean, embedding array<double>"
+    rows = [("i0", 0, True, [3.0, 4.0]), ("i0", 1, False, [0.0, 0.0]), ("i1", 0, True, [3.0, 4.0]), ("i2", 0, True, [0.0, 5.0]), ("i3", 0, False, [1.0, 1.0])]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/some.parquet")
+    spark.createDataFrame([*rows[:4], ("i3", 0, True, [1.0, 0.0])], kind).write.parquet(f"{tmp_path}/all.parquet")
+    spark.createDataFrame(rows[:0], kind).write.parquet(f"{tmp_path}/none.parquet")
+    args = lambda patches: (f"{tmp_path}/{patches}.parquet", f"{tmp_path}/bank.parquet")
+    got = lambda root: {(r.image_id, r.concept_id): round(r.score, 6) for r in spark.read.parquet(f"{root}/scores").collect()}
+    assert workflow.score(spark, roots[0], *args("some")) == dict(rows=2, reused=0, failed=1)
+    want = {("i0", 0): 0.6, ("i0", 1): 0.8, ("i1", 0): 0.6, ("i1", 1): 0.8, ("i2", 0): 0.0, ("i2", 1): 1.0}
+    assert got(roots[0]) == want
+    with pytest.raises(FileExistsError):
+        workflow.score(spark, roots[0], *args("some"))
+    assert workflow.score(spark, roots[0], *args("all"), resume=True) == dict(rows=3, reused=0, failed=0)
+    assert got(roots[0]) == {**want, ("i3", 0): 1.0, ("i3", 1): 0.0}
+    assert workflow.score(spark, roots[1], *args("none"), reuse=roots[0]) == dict(rows=3, reused=3, failed=0)
+    assert got(roots[1]) == got(roots[0])
+    bank.withColumn("concept", F.upper("concept")).write.parquet(f"{tmp_path}/other.parquet")
+    with pytest.raises(ValueError):
+        workflow.score(spark, roots[0], args("all")[0], f"{tmp_path}/other.parquet", resume=True)
+    with pytest.raises(ValueError):
+        workflow.score(spark, str(tmp_path / "b"), args("all")[0], f"{tmp_path}/other.parquet", reuse=roots[0])
+
+
+def test_command_line(spark, tmp_path):
+    """fixture, inspect, prepare, analyze and report by their verbs."""
+    root, again = str(tmp_path / "f"), str(tmp_path / "p")
+    cli.main(["fixture", "--output", root])
+    cli.main(["inspect", "--metadata", f"{root}/metadata.parquet", "--output", str(tmp_path / "i.json")])
+    assert io.read_json(str(tmp_path / "i.json"))["rows"] == 80
+    cli.main(["prepare", "--metadata", f"{root}/metadata.parquet", "--output", again, "--group-limit", "0"])
+    assert spark.read.parquet(f"{again}/events").count() == 20
+    cli.main(["analyze", "--output", root, "--bootstrap", "20"])
+    cli.main(["report", "--output", root])
+    assert len(spark.read.option("header", True).csv(f"{root}/analysis/discrimination_summary").collect()) == 3
+    with pytest.raises(SystemExit):
+        cli.main(["prepare", "--output", again, "--group-limit", "-1"])
+
+
 def test_compare_and_report(spark, runs, tmp_path):
     got = workflow.compare(spark, runs["ranked"][0], runs["choice"][0], str(tmp_path), 20)
     assert got["discovery"]["direction_agreement"] == 1.0
