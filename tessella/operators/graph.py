@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from tessella.sources.scratch import Scratch
 
 #: Links up to this number (about 100 bytes each) are joined by one task, more by stars.
 LOCAL_LINKS = 500_000
-#: Members that one row may hold; larger components are digested in parts of this size.
+#: Members that one row may hold; larger components are digested as a stream.
 MEMBERS = 20_000
 
 
@@ -97,19 +98,44 @@ def least_labels(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     return scratch.write(events.join(found, "event_id", "left").select("event_id", F.coalesce("label", "event_id").alias("label")))
 
 
-def component_digests(labels: DataFrame, members: int = MEMBERS) -> DataFrame:
-    """(label, component_id): the digest of the component's sorted event ids.
-
-    Of more than ``members`` ids it is the digest of the digests of their parts in order, so that
-    no row holds a whole component.
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the JSON lists of rows sorted by label and event: no list is held."""
+    label, state = None, None
+    for batch in batches:
+        done: list[tuple[str, str]] = []
+        for name, event in zip(batch.column("label").to_pylist(), batch.column("quoted").to_pylist(), strict=True):
+            if name != label:
+                if state is not None:
+                    state.update(b"]")
+                    done.append((label, state.hexdigest()))
+                label, state = name, hashlib.sha256(b"[")
+            else:
+                state.update(b",")
+            state.update(event.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], names=["label", "component_id"])
+    if state is not None:
+        state.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([state.hexdigest()])], names=["label", "component_id"])
+
+
+def component_digests(labels: DataFrame, members: int | None = None) -> DataFrame:
+    """(label, component_id): the digest of the component's sorted event ids, whatever their
+    number.  A component of more than MEMBERS ids is read as a stream of sorted rows.
+
+    With ``members``, larger components get the digest of the digests of their parts in order.
     """
+    most = MEMBERS if members is None else members
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > members).select("label")
+    large = sizes.where(F.col("n") > most).select("label")
     ids = F.array_sort(F.collect_list("event_id"))
     if not large.limit(1).count():
         return labels.groupBy("label").agg(canon.digest_list(ids).alias("component_id"))
     large = Scratch(labels.sparkSession, "large").write(large)
     some = labels.join(large, "label", "left_anti").groupBy("label").agg(canon.digest_list(ids).alias("component_id"))
+    if members is None:
+        rows = labels.join(large, "label", "left_semi").select("label", "event_id", canon.json_string(F.col("event_id")).alias("quoted"))
+        rows = rows.repartition("label").sortWithinPartitions("label", "event_id").select("label", "quoted")
+        return some.unionByName(rows.mapInArrow(_digested, "label string, component_id string"))
     placed = row_numbers(labels.join(large, "label", "left_semi"), ["label", "event_id"], "k")
     placed = placed.join(placed.groupBy("label").agg(F.min("k").alias("first")), "label").withColumn("part", F.floor((F.col("k") - F.col("first")) / members))
     parts = placed.groupBy("label", "part").agg(canon.digest_list(ids).alias("d"))

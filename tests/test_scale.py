@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import blocks, fused, scoring
+from tessella.operators import blocks, fused, graph, scoring
 from tessella.operators import statistics as st
 
 COMPARISON = "event_id string, preferred_image_id string, rejected_image_id string, within_event_weight double, prompt_group_id string, analysis_split string, dependency_cluster_id string"
@@ -92,3 +92,12 @@ def test_scores_are_not_shuffled(spark, made):
     c, s = made
     for df in (s.long(), s.blocks().rows, scoring.patch_argmax(s.patches, s.concepts)):
         assert shuffled(df) and not any("scores" in line or "block_id" in line for line in shuffled(df))
+
+
+def test_ids_of_large_components_are_digests_of_all_events(spark, monkeypatch):
+    from tessella.sources.io import digest
+
+    monkeypatch.setattr(graph, "MEMBERS", 20)
+    names = {f"x{n}": [f'e"{n}:é{k}' for k in range(size)] for n, size in enumerate((20, 21, 400, 3))}
+    labels = spark.createDataFrame([(e, x) for x, some in names.items() for e in some], "event_id string, label string").repartition(7)
+    assert dict(graph.component_digests(labels).collect()) == {x: digest(sorted(some)) for x, some in names.items()}
