@@ -101,13 +101,20 @@ def ranked_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return images, kept(splits.sample_components(splits.assign_splits(events, images), 0))
 
 
+def whole_runs(spark: SparkSession, d: str, size: int) -> DataFrame:
+    """The numbers (vec_id) of all runs of vectors of the given size, so that the last run is whole
+    whatever the number of vectors."""
+    k = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / size).cast("bigint").alias("k")).distinct()
+    return k.select(F.explode(F.array(*[F.col("k") * size + j for j in range(size)])).alias("vec_id"))
+
+
 def broken_groups(spark: SparkSession, d: str) -> DataFrame:
     """Ranked groups of five vectors; the group's number modulo 8 is its defect (0: none)."""
     g, k, x = F.floor(F.col("vec_id") / 5).cast("bigint"), F.col("vec_id") % 5, F.col("vec_id").cast("string")
     defect = g % 8
     first = k == 0
     path = F.when((defect == 1) & first, None).when((defect == 4) & (k == 1), (F.col("vec_id") - 1).cast("string")).when((defect == 7) & first, "shared").otherwise(x)
-    return table(spark, d, "embeddings").select(
+    return whole_runs(spark, d, 5).select(
         F.lit("train").alias("original_split"),
         g.cast("string").alias("prompt_id"),
         F.concat(F.lit("prompt "), g.cast("string"), F.when((defect == 2) & (k == 2), " other").otherwise("")).alias("prompt"),
@@ -122,7 +129,7 @@ def broken_choices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(images, rankings) of four vectors an event; its number modulo 9 is its defect (0: none)."""
     k, j, i = F.floor(F.col("vec_id") / 4).cast("bigint"), F.col("vec_id") % 4, F.col("vec_id")
     defect = k % 9
-    e = table(spark, d, "embeddings")
+    e = whole_runs(spark, d, 4)
     prompt = F.concat(F.lit("p "), k.cast("string"))
     images = e.select(i.cast("string").alias("image_uid"), F.when((defect == 6) & (j == 2), "another").otherwise(prompt).alias("prompt"), F.when((defect == 7) & (j == 2), "blur").alias("negative_prompt"), i.alias("ordinal"))
     twice = e.where((defect == 8) & (j == 3)).select(i.cast("string").alias("image_uid"), F.lit("changed").alias("prompt"), F.lit(None).cast("string").alias("negative_prompt"), (i + 1_000_000).alias("ordinal"))

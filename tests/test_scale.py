@@ -101,3 +101,17 @@ def test_ids_of_large_components_are_digests_of_all_events(spark, monkeypatch):
     names = {f"x{n}": [f'e"{n}:é{k}' for k in range(size)] for n, size in enumerate((20, 21, 400, 3))}
     labels = spark.createDataFrame([(e, x) for x, some in names.items() for e in some], "event_id string, label string").repartition(7)
     assert dict(graph.component_digests(labels).collect()) == {x: digest(sorted(some)) for x, some in names.items()}
+
+
+def test_defects_by_number_whatever_the_number_of_vectors(spark, tmp_path):
+    """362 vectors: the last event has two of its four and the last group two of its five."""
+    import duckdb
+
+    import __spark_entry__
+
+    spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 362").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("choice_exclusions", "ranked_exclusions"):
+        got = {tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == set(con.execute(__spark_entry__.oracle_sql()[name]).fetchall()) and len(got) > 70
