@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +36,29 @@ def event_keys(events: DataFrame, images: DataFrame, annotators: bool = False) -
     return keys.distinct()
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union by least number over all links of a task."""
+def _joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(u, v): the least event v that a task's links lead to from u, of about ``most`` links at a
+    time; an event that leads to none has no row."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            yield from _least(held)
+            held, size = [], 0
+    yield from _least(held)
+
+
+def _least(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by least number over links."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     table = pa.Table.from_batches(got)
-    names, at = np.unique(np.array(table["u"].to_pylist() + table["v"].to_pylist(), object).astype(str), return_inverse=True)
-    u, v = at[: table.num_rows], at[table.num_rows :]
+    ends = [table[c].combine_chunks() for c in ("u", "v")]
+    names = pc.unique(pa.concat_arrays(ends))
+    names = names.take(pc.array_sort_indices(names))
+    u, v = (pc.index_in(e, names).to_numpy(zero_copy_only=False) for e in ends)
     label = np.arange(len(names))
     while True:
         low = np.minimum(label[u], label[v])
@@ -50,13 +66,15 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ends in (u, v):
             np.minimum.at(following, label[ends], low)
             np.minimum.at(following, ends, low)
-        while (ahead := following[following]).tolist() != following.tolist():
+        while not np.array_equal(ahead := following[following], following):
             following = ahead
-        if (following == label).all():
+        if np.array_equal(following, label):
             break
         label = following
-    for k in range(0, len(names), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000].tolist()), pa.array(names[label[k : k + 50_000]].tolist())], names=["event_id", "label"])
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    for k in range(0, len(moved), 50_000):
+        some = moved[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), names.take(pa.array(label[some]))], names=["u", "v"])
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -72,28 +90,45 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every event hangs on one event that hangs on none."""
+    if links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return False
+    return not links.join(links.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+
+
+def key_links(edges: DataFrame) -> DataFrame:
+    """(u, v): each event of a key and the key's least event.  A key of two events needs no join;
+    larger ones are summed before the shuffle, so a key that a third of all events share costs one
+    row an event."""
+    keys = edges.groupBy("key").agg(F.min("event_id").alias("v"), F.max("event_id").alias("u"), F.count("*").alias("n")).where("u <> v")
+    keys = Scratch(edges.sparkSession, "keys").write(keys)
+    links = keys.select("u", "v")
+    large = keys.where("n > 2").select("key", "v")
+    if large.limit(1).count():
+        links = links.unionByName(edges.join(large, "key").where("event_id <> v").select(F.col("event_id").alias("u"), "v"))
+    return links.distinct()
+
+
 def least_labels(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(event_id, label): the least event reachable over shared keys.
 
-    Each key becomes links to its least event, summed before the shuffle, so a key that a third
-    of all events share costs one row an event.  Links are then joined by alternating large and
-    small stars (Kiveris et al., 2014), whose rounds grow with the logarithm of the size.
+    Few links are joined by one task.  Of more, each task first joins the links of a range of
+    events among themselves; what is left goes by alternating large and small stars (Kiveris et
+    al., 2014), whose rounds grow with the logarithm of the size, until every event hangs on its
+    component's least.
     """
     scratch = Scratch(edges.sparkSession, "components")
     edges = scratch.write(edges)
-    least = edges.groupBy("key").agg(F.min("event_id").alias("v"))
-    links = scratch.write(edges.join(least, "key").where("event_id <> v").select(F.col("event_id").alias("u"), "v").distinct())
+    links = scratch.write(key_links(edges))
     if links.limit(local_links + 1).count() <= local_links:
-        found = links.coalesce(1).mapInArrow(_joined, "event_id string, label string")
+        found = links.coalesce(1).mapInArrow(lambda it: _joined(it, local_links + 1), "u string, v string")
     else:
-        seen = None
-        while True:
-            links = scratch.write(_star(_star(links, True), False))
-            state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if state == seen:
-                break
-            seen = state
-        found = links.select(F.col("u").alias("event_id"), F.col("v").alias("label"))
+        most = LOCAL_LINKS
+        found = scratch.write(links.repartitionByRange("u").mapInArrow(lambda it: _joined(it, most), "u string, v string").distinct())
+        while not _settled(found):
+            found = scratch.write(_star(_star(found, True), False))
+    found = found.select(F.col("u").alias("event_id"), F.col("v").alias("label"))
     events = edges.select("event_id").distinct()
     return scratch.write(events.join(found, "event_id", "left").select("event_id", F.coalesce("label", "event_id").alias("label")))
 

@@ -115,3 +115,30 @@ def test_defects_by_number_whatever_the_number_of_vectors(spark, tmp_path):
     for name in ("choice_exclusions", "ranked_exclusions"):
         got = {tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
         assert got == set(con.execute(__spark_entry__.oracle_sql()[name]).fetchall()) and len(got) > 70
+
+
+def test_links_of_keys_and_settled_stars(spark, monkeypatch):
+    """Chains over ranges, keys of many events, copies of rows; every component by its least event."""
+    import random
+
+    links = lambda rows: spark.createDataFrame(rows, "u string, v string")
+    assert graph._settled(links([("b", "a"), ("c", "a"), ("y", "x")]))
+    assert not graph._settled(links([("b", "a"), ("c", "b")])) and not graph._settled(links([("c", "a"), ("c", "b")]))
+    r = random.Random(5)
+    rows = [(f"e{k:03d}", f"c{j}") for k in range(90) for j in (k, k + 1)] + [(f"h{k}", "hot") for k in range(40)] * 2 + [(f"r{r.randrange(60):02d}", f"k{r.randrange(70)}") for _ in range(80)] + [("one", "alone")]
+    edges = spark.createDataFrame(rows, "event_id string, key string").repartition(6)
+    parent = {e: e for e, _ in rows}
+
+    def root(e):
+        while parent[e] != e:
+            e = parent[e]
+        return e
+
+    least = {}
+    for e, k in sorted(rows):
+        a, b = root(e), root(least.setdefault(k, e))
+        parent[max(a, b)] = min(a, b)
+    want = {e: root(e) for e in parent}
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 7)
+    for local in (0, 10_000):
+        assert dict(graph.least_labels(edges, local).collect()) == want
