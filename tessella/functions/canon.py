@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +18,25 @@ NO_WINNER = ("", "none", "null", "nan")
 UUID_TEXT = "[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+#: Texts that are Python strings at one time.
+COMPOSED = 256
+
+
+def composed(texts: pa.Array, rows: int = COMPOSED) -> pa.Array:
+    """NFC of texts; ASCII runs stay in Arrow, others become Python strings a few at a time."""
+    out = []
+    for k in range(0, len(texts), rows):
+        some = texts.slice(k, rows)
+        if pc.all(pc.string_is_ascii(some)).as_py() is False:
+            some = pa.array((t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in (x.as_py() for x in some)), texts.type)
+        out.append(some)
+    return pa.concat_arrays(out) if out else texts
+
+
+@F.arrow_udf(T.StringType())
+def nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for some in texts:
+        yield composed(some)
 
 
 def normalize_prompt(text: Column, compose: bool = True) -> Column:
